@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from knotwork.llm.mixing import op9_mixing
 from knotwork.llm.simhash import op6_simhash
 
-QUERIES = {q.__name__: q for q in (op6_simhash,)}
+QUERIES = {q.__name__: q for q in (op6_simhash, op9_mixing)}
 ORACLES: dict[str, str] = {}
