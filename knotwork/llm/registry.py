@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from knotwork.llm.decontaminate import op2_decontaminate
+from knotwork.llm.lines import op8_lines
 from knotwork.llm.mixing import op9_mixing
 from knotwork.llm.quality import op7_quality
 from knotwork.llm.simhash import op6_simhash
 from knotwork.llm.toxicity import op1_toxicity
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op6_simhash, op7_quality, op9_mixing)}
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_decontaminate, op6_simhash, op7_quality, op8_lines, op9_mixing)}
 ORACLES: dict[str, str] = {}
