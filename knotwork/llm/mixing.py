@@ -49,7 +49,8 @@ def sainte_lague(votes: Sequence[float], seats: int, most: Sequence[int] | None
     v = np.maximum(np.asarray(votes, float), 0)
     cap = np.full(len(v), seats, np.int64) if most is None else np.minimum(np.asarray(most, np.int64), seats)
     cap = np.where(v > 0, cap, 0)
-    seats = min(seats, int(cap.sum()))
+    if seats >= int(cap.sum()):
+        return [int(x) for x in cap]
     above = lambda t: np.minimum(cap, np.ceil(np.maximum(0.0, (v / t - 1) / 2)).astype(np.int64))  # noqa: E731  quotients over t
     lo, hi = 0.0, float(v.max(initial=0)) + 1
     for _ in range(200):
