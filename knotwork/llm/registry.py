@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from knotwork.llm.chat import op5_chat
 from knotwork.llm.decontaminate import op2_decontaminate
+from knotwork.llm.licenses import op3_licenses
 from knotwork.llm.lines import op8_lines
 from knotwork.llm.mixing import op9_mixing
 from knotwork.llm.quality import op7_quality
+from knotwork.llm.secrets import op4_secrets
 from knotwork.llm.simhash import op6_simhash
 from knotwork.llm.toxicity import op1_toxicity
 from knotwork.llm.vptree import op10_vptree
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op2_decontaminate, op5_chat, op6_simhash, op7_quality, op8_lines, op9_mixing, op10_vptree)}
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_decontaminate, op3_licenses, op4_secrets, op5_chat, op6_simhash, op7_quality, op8_lines, op9_mixing, op10_vptree)}
 ORACLES: dict[str, str] = {}
