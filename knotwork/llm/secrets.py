@@ -28,7 +28,7 @@ def statistics(c: Column, before: Column, word: Column) -> dict[str, Column]:
     near = F.concat_ws(" ", before, word)
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     return {
-        "length": F.length(c).cast("double"), "digits": rate("[0-9]"), "upper": rate("[A-Z]"), "marks": rate(r"[+/_=\-]"), "hex": flag(c.rlike("^[0-9a-f]+$")),
+        "length": F.length(c).cast("double"), "digits": rate("[0-9]"), "upper": rate("(?<!^)[A-Z]"), "marks": rate(r"[+/_=\-]"), "hex": flag(c.rlike("^[0-9a-f]+$")),
         "kinds": F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(64)), "changes": rate("(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"),
         "covered": F.lit(1.0) - F.length(F.regexp_replace(F.lower(c), PIECES, "")) / n, "slashes": rate("/"), "path": flag(word.rlike(r"^\.{0,2}/|://|\.[a-z]{2,4}$")),
         "goes": flag(near.rlike(f"(?i){GOES}")), "other": flag(near.rlike(f"(?i){OTHER}")), "assigned": flag(near.rlike("[=:]")),
@@ -49,7 +49,7 @@ def labelled_findings(count: int = FINDINGS, seed: int = 5) -> list[tuple[str, s
             shaped = c.startswith(("AKIA", "ghp_", "sk-"))
             before = f"{r.choice(names)} {r.choice('=:')}" if not shaped or r.random() < 0.7 else r.choice(bits) + " " + r.choice(bits)
         else:
-            c = r.choice([lambda: of(hexes, r.choice([32, 40, 64])), lambda: "-".join(of(hexes, n) for n in (8, 4, 4, 4, 12)), lambda: "/".join("".join(r.choices(bits, k=2)) for _ in range(5)), lambda: "".join(r.choices(bits, k=r.randint(6, 12))), lambda: of(string.digits, r.randint(16, 24)), lambda: "_".join(r.choices(bits, k=6))])()
+            c = r.choice([lambda: of(hexes, r.choice([32, 40, 64])), lambda: "-".join(of(hexes, n) for n in (8, 4, 4, 4, 12)), lambda: "/".join("".join(r.choices(bits, k=2)) for _ in range(5)), lambda: "".join(r.choices(bits, k=r.randint(6, 12))), lambda: "".join(r.choices(bits, k=r.randint(6, 12))).capitalize(), lambda: "".join(w.capitalize() for w in r.choices(bits, k=6)), lambda: of(string.digits, r.randint(16, 24)), lambda: "_".join(r.choices(bits, k=6))])()
             wordy = not set(c) <= set(hexes + "-")
             before = f"{r.choice(names)} =" if wordy and r.random() < 0.2 else f"{r.choice(others)} {r.choice(['=', ':', ''])}" if r.random() < 0.6 else r.choice(bits) + " " + r.choice(bits)
         c = c if len(c) >= LEAST else c * 2
