@@ -94,6 +94,23 @@ def test_lines_keep_one_of_each_component(spark):
     assert lines.keep_lines(spark, d).columns == d.columns
 
 
+def test_line_components_against_brute_force(spark):
+    rng = np.random.default_rng(7)
+    stem = "the committee of the northern harbour noted that "
+    own = [stem + " ".join(f"word{x}" for x in rng.integers(0, 40, 9)) for _ in range(60)]
+    rows = [*own, *(x + " indeed" for x in own[:30]), *(x.replace("harbour", "harbor") for x in own[10:40]), own[0]]
+    d = spark.createDataFrame([(bytes([k // 256, k % 256]), x) for k, x in enumerate(sorted(set(rows)))], "key binary, line string")
+    texts = {bytes(r.key): {r.line[i : i + 5] for i in range(len(r.line) - 4)} for r in d.collect()}
+    root = {k: k for k in texts}
+    for _ in range(8):
+        for a in texts:
+            for b in texts:
+                if len(texts[a] & texts[b]) >= 0.8 * len(texts[a] | texts[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    got = {bytes(r.node): bytes(r.component) for r in lines.similar_lines(spark, d, Cuts(spark)).collect()}
+    assert {k: got.get(k, k) for k in texts} == root
+
+
 def test_simhash_groups_against_brute_force(spark):
     rng = np.random.default_rng(4)
     base = [" ".join(f"w{x}" for x in rng.integers(0, 500, 60)) for _ in range(12)]
