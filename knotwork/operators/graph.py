@@ -88,3 +88,77 @@ def commerce(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     links = (("nation", "n_nationkey", "region", "n_regionkey", "in_region", "nation"), ("customer", "c_custkey", "nation", "c_nationkey", "in_nation", "customer"), ("supplier", "s_suppkey", "nation", "s_nationkey", "in_nation", "supplier"), ("orders", "o_orderkey", "customer", "o_custkey", "placed_by", "orders"), ("orders", "l_orderkey", "part", "l_partkey", "contains", "lineitem"), ("part", "l_partkey", "supplier", "l_suppkey", "supplied_by", "lineitem"))
     edges = reduce(DataFrame.unionByName, (t(f).select(node_id(a, F.col(x)).alias("source"), node_id(b, F.col(y)).alias("target"), F.lit(r).alias("relation")) for a, x, b, y, r, f in links))
     return upsert_nodes(nodes), upsert_edges(edges)
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Undirected pairs (a, b), each in both directions, without parallels and self-loops."""
+    return edges.where("source <> target").select(F.inline(F.array(F.struct(F.col("source").alias("a"), F.col("target").alias("b")), F.struct(F.col("target").alias("a"), F.col("source").alias("b"))))).distinct()
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component, component_size): components are numbered from 0 by size, the largest first, ties by least id; isolated nodes are components.
+
+    Least labels travel along the edges and jump along themselves in every round, until a round changes none.
+    """
+    und = cut(both_ways(edges))
+    label = cut(nodes.select("id", F.col("id").alias("label")))
+    while True:
+        near = und.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
+        step = cut(label.join(near, F.col("id") == F.col("a"), "left").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label")))
+        jump = step.select(F.col("id").alias("label"), F.col("label").alias("far"))
+        new = cut(step.join(jump, "label").select("id", "old", F.least("label", "far").alias("label")))
+        if not new.where("old <> label").take(1):
+            break
+        label = new.select("id", "label")
+    sizes = new.groupBy("label").agg(F.count("*").alias("component_size"))
+    # One row for each component; the numbering sorts these alone.
+    number = sizes.select("label", "component_size", (F.row_number().over(Window.orderBy(F.desc("component_size"), "label")) - 1).alias("component"))
+    return new.join(number, "label").select("id", "component", "component_size")
+
+
+def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, clustering): twice the links among neighbours by d(d-1), 0 below two neighbours. Wedges start from the end of lower degree, so hubs make few."""
+    und = both_ways(edges)
+    deg = cut(und.groupBy("a").agg(F.count("*").alias("d")))
+    rank = lambda d, i: F.struct(F.col(d), F.col(i))
+    up = cut(und.join(deg, "a").join(deg.toDF("b", "e"), "b").where(rank("d", "a") < rank("e", "b")).select("a", "b", "e"))
+    wedge = up.alias("x").join(up.alias("y"), F.col("x.a") == F.col("y.a")).where(F.struct("x.e", "x.b") < F.struct("y.e", "y.b")).select(F.col("x.a").alias("u"), F.col("x.b").alias("v"), F.col("y.b").alias("w"))
+    closed = wedge.join(up, (F.col("v") == up.a) & (F.col("w") == up.b)).select(F.explode(F.array("u", "v", "w")).alias("id"))
+    count = closed.groupBy("id").agg(F.count("*").alias("t"))
+    joined = nodes.select("id").join(deg, F.col("id") == F.col("a"), "left").join(count, "id", "left")
+    return joined.select("id", F.when(F.col("d") > 1, 2.0 * F.coalesce("t", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).otherwise(0.0).alias("clustering"))
+
+
+def blast_radius(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, blast_radius): how many other nodes reach a node along the edges. The closure grows by new pairs only."""
+    step = edges.select("source", "target").where("source <> target").distinct()
+    front = known = cut(step)
+    while True:
+        onward = front.join(step.toDF("target", "next"), "target").select("source", F.col("next").alias("target")).distinct()
+        front = cut(onward.join(known, ["source", "target"], "left_anti"))
+        if not front.take(1):
+            break
+        known = cut(known.unionByName(front))
+    count = known.where("source <> target").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n"))
+    return nodes.select("id").join(count, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("blast_radius"))
+
+
+def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row, modularity: of labels (id, label) over the undirected simple graph; 0 without edges."""
+    und = both_ways(edges).join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
+    by = und.groupBy(F.col("la").alias("label")).agg(F.count("*").alias("tot"), F.count_if(F.col("la") == F.col("lb")).alias("inside"))
+    sums = by.agg(F.sum("tot").alias("m2"), F.sum("inside").alias("i"), F.sum(F.col("tot").cast("double") * F.col("tot")).alias("sq"))
+    return sums.select(F.coalesce(F.col("i") / F.col("m2") - F.col("sq") / (F.col("m2").cast("double") * F.col("m2")), F.lit(0.0)).alias("modularity"))
+
+
+def induced(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """The edges with both ends among members (id)."""
+    ends = members.select("id")
+    return edges.join(ends.toDF("source"), "source", "left_semi").join(ends.toDF("target"), "target", "left_semi")
+
+
+def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges with an end that is no node."""
+    ids = nodes.select("id").distinct()
+    out = edges.join(ids.select(F.col("id").alias("source"), F.lit(True).alias("s")), "source", "left").join(ids.select(F.col("id").alias("target"), F.lit(True).alias("t")), "target", "left")
+    return out.where("s is null or t is null").drop("s", "t").select(*edges.columns)
