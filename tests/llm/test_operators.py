@@ -111,6 +111,25 @@ def test_line_components_against_brute_force(spark):
     assert {k: got.get(k, k) for k in texts} == root
 
 
+def test_lines_of_one_stem_lose_no_pair(spark):
+    rng = np.random.default_rng(11)
+    chars = list("abcdefghijklmnopqrstuvwxyz0123456789")
+    word = lambda n: "".join(rng.choice(chars, n))
+    stem = " ".join(word(9) for _ in range(21))
+    rows = []
+    for _ in range(600):
+        own, half = word(20), word(18)
+        rows += [f"{stem} {own}{half}", f"{stem} {own}{word(18)}"]
+    d = spark.createDataFrame([(hashlib.md5(x.encode()).digest(), x) for x in rows], "key binary, line string")
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in rows]
+    close = [(a, b) for a in range(0, len(rows), 40) for b in range(a + 1, len(rows)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert close == [(a, a + 1) for a in range(0, len(rows), 40)]
+    got = {bytes(r.node): bytes(r.component) for r in lines.similar_lines(spark, d, Cuts(spark)).collect()}
+    key = [hashlib.md5(x.encode()).digest() for x in rows]
+    lost = [k for k in range(0, len(rows), 2) if key[k] not in got or got[key[k]] != got.get(key[k + 1])]
+    assert not lost and len(set(got.values())) == 600
+
+
 def test_simhash_groups_against_brute_force(spark):
     rng = np.random.default_rng(4)
     base = [" ".join(f"w{x}" for x in rng.integers(0, 500, 60)) for _ in range(12)]
