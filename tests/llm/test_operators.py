@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from knotwork.llm import chat, decontaminate, lines, mixing, secrets, simhash, toxicity, trees, vptree
+from knotwork.llm import chat, decontaminate, licenses, lines, mixing, secrets, simhash, toxicity, trees, vptree
 from knotwork.llm.common import Cuts
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string"
@@ -161,3 +161,17 @@ def test_toxicity_without_labels(spark):
 def test_lexicon_features_count_near_second_person():
     f = toxicity.features("You are an 1diot!", toxicity.Lexicon())
     assert f[1] == 1 and f[6] > 0 and f[13] > 0
+def test_licenses_over_several_lines_headers_and_spdx(spark):
+    text = {k: t for k, t, _ in licenses.TEXTS}
+    wrap = lambda t, mark, n=9: "\n".join(f"{mark} {' '.join(t.split()[k : k + n])}" for k in range(0, len(t.split()), n))
+    gpl = next(t for k, t, _ in licenses.TEXTS if k == "GPL-3.0")
+    cases = [
+        ("some code\n" + wrap(text["MIT"], " *") + "\nint main;", ["MIT"]), (wrap(text["BSD-3-Clause"], "#"), ["BSD-3-Clause"]), (wrap(text["BSD-2-Clause"], "//", 7), ["BSD-2-Clause"]), (wrap(gpl, "#"), ["GPL-3.0"]),
+        (gpl, ["GPL-3.0"]), ("// SPDX-License-Identifier: MIT", ["MIT"]), ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR Apache-2.0 */", ["Apache-2.0", "GPL-2.0"]), ("Licensed under MIT", ["MIT"]),
+        ("Licensed under the MIT License. Released under the ISC License.", ["ISC", "MIT"]), ("Released under the MIT License.", ["MIT"]), ("we talked of the license and of mit and how it was\nreleased", []), (wrap(text["Zlib"], ";"), ["Zlib"]), (wrap(text["ISC"], "#") + "\n\n" + wrap(text["Apache-2.0"] if "governing" in text["Apache-2.0"] else licenses.TEXTS[7][1], "#"), ["Apache-2.0", "ISC"]),
+    ]
+    rows = licenses.find(docs(spark, *[c[0] for c in cases])).collect()
+    got = [sorted(r.license for r in rows if r.doc_id == k) for k in range(len(cases))]
+    assert got == [c[1] for c in cases]
+
+
