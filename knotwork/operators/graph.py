@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from knotwork.plans.durable import cut
 
 DAMPING = 0.85
+#: PageRank has converged when a round moves less than this in L1; rounds at most.
+TOLERANCE, MOST_ROUNDS = 1e-9, 200
 
 
 def node_id(kind: str, key: Column) -> Column:
@@ -35,16 +37,20 @@ def degrees(edges: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"), F.count("*").alias("degree"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
-    """(id, pagerank) after a fixed number of rounds; what dangling nodes hold is spread evenly. Every round is one join and one aggregation."""
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = MOST_ROUNDS, tolerance: float | None = TOLERANCE) -> DataFrame:
+    """(id, pagerank) once a round moves less than the tolerance in L1, or after the rounds; without a tolerance all rounds are made. What dangling nodes hold is spread evenly. Every round is one join and one aggregation."""
+    edges = cut(edges.select("source", "target"))
     out = edges.groupBy("source").agg(F.count("*").alias("n"))
     graph = cut(nodes.select("id").join(out, F.col("id") == F.col("source"), "left").select("id", "n"))
     total = graph.count()
-    rank = graph.select("id", "n", F.lit(1.0 / max(total, 1)).alias("r"))
+    rank = graph.select("id", "n", F.lit(1.0 / max(total, 1)).alias("r"), F.lit(None).cast("double").alias("old"))
     for _ in range(rounds):
-        lost = rank.where("n is null").agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0]
+        lost, moved = rank.agg(F.coalesce(F.sum(F.when(F.col("n").isNull(), F.col("r"))), F.lit(0.0)), F.sum(F.abs(F.col("r") - F.col("old")))).first()
+        if tolerance is not None and moved is not None and moved < tolerance:
+            break
         sent = edges.join(rank, F.col("source") == F.col("id")).select("target", (F.col("r") / F.col("n")).alias("x")).groupBy("target").agg(F.sum("x").alias("x"))
-        rank = cut(graph.join(sent, F.col("id") == F.col("target"), "left").select("id", "n", ((1 - DAMPING) / total + DAMPING * (F.coalesce("x", F.lit(0.0)) + lost / total)).alias("r")))
+        held = rank.select("id", "n", F.col("r").alias("old"))
+        rank = cut(held.join(sent, F.col("id") == F.col("target"), "left").select("id", "n", ((1 - DAMPING) / total + DAMPING * (F.coalesce("x", F.lit(0.0)) + lost / total)).alias("r"), "old"))
     return rank.select("id", F.col("r").alias("pagerank"))
 
 

@@ -16,6 +16,12 @@ WITH = f"with nodes as ({NODES}), edges as ({EDGES}), ends as (select source as
 _STEP = "p{k} as (select s.id, s.n, {low} / t.c + {d} * (coalesce(x.x, 0) + (select coalesce(sum(r), 0) from p{j} where n is null) / t.c) as r from p{j} s cross join t left join (select target, sum(p.r / p.n) as x from edges join p{j} p on p.id = source group by target) x on x.target = s.id)"
 _RANKS = ", t as (select count(*)::double as c from nodes), p0 as (select n.id, o.n, 1.0::double / t.c as r from nodes n cross join t left join (select source, count(*) as n from edges group by source) o on o.source = n.id), " + ", ".join(_STEP.format(k=k, j=k - 1, low="0.15::double", d="0.85::double") for k in range(1, ROUNDS + 1))
 
+# Every round is kept with its number and how far it moved; p starts from p0 as above.
+_CONVERGED = WITH.replace("with ", "with recursive ", 1) + _RANKS.split(", p1 as")[0] + """, p as (select id, n, r, 0 as k, 1.0::double as l1 from p0 union all
+select id, n, r, k, sum(abs(r - old)) over () as l1 from (select s.id, s.n, s.k + 1 as k, s.r as old, 0.15::double / t.c + 0.85::double * (coalesce(x.x, 0) + (select coalesce(sum(r), 0) from p where n is null) / t.c) as r
+from p s cross join t left join (select target, sum(p.r / p.n) as x from edges join p on p.id = source group by target) x on x.target = s.id where s.l1 >= 1e-9 and s.k < 200))
+select id, round(r, 9) as pagerank from p where k = (select max(k) from p)"""
+
 
 def node_types(spark: SparkSession, d: str) -> DataFrame:
     return g.commerce(spark, d)[0].groupBy("type").agg(F.count("*").alias("n"))
@@ -34,7 +40,12 @@ def hubs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return g.pagerank(*g.commerce(spark, d), ROUNDS).select("id", F.round("pagerank", 9).alias("pagerank"))
+    return g.pagerank(*g.commerce(spark, d), ROUNDS, None).select("id", F.round("pagerank", 9).alias("pagerank"))
+
+
+def pagerank_converged(spark: SparkSession, d: str) -> DataFrame:
+    """PageRank until a round moves less than the tolerance, as in the reference."""
+    return g.pagerank(*g.commerce(spark, d)).select("id", F.round("pagerank", 9).alias("pagerank"))
 
 
 def impact(spark: SparkSession, d: str) -> DataFrame:
@@ -61,13 +72,14 @@ def slugs(spark: SparkSession, d: str) -> DataFrame:
     return g.commerce(spark, d)[0].where("type = 'part'").select("id", g.slug(F.col("label")).alias("slug"))
 
 
-QUERIES = {f.__name__: f for f in (node_types, edge_relations, degree, hubs, pagerank, impact, bridges, orphans, search, slugs)}
+QUERIES = {f.__name__: f for f in (node_types, edge_relations, degree, hubs, pagerank, pagerank_converged, impact, bridges, orphans, search, slugs)}
 ORACLES = {
     "node_types": f"{WITH} select type, count(*) as n from nodes group by type",
     "edge_relations": f"{WITH} select relation, count(*) as n from edges group by relation",
     "degree": f"{WITH} select * from deg",
     "hubs": f"{WITH} select id, degree from deg order by degree desc, id limit 15",
     "pagerank": f"{WITH}{_RANKS} select id, round(r, 9) as pagerank from p{ROUNDS}",
+    "pagerank_converged": _CONVERGED,
     "impact": f"{WITH}, l1 as (select distinct source as id from edges where target = 'region:0'), l2 as (select distinct source as id from edges join l1 on target = id), l3 as (select distinct source as id from edges join l2 on target = id) select id, min(level)::int as level from (select 'region:0' as id, 0 as level union all select id, 1 from l1 union all select id, 2 from l2 union all select id, 3 from l3) group by id",
     "bridges": f"{WITH} select id, round(100 * percent_rank() over (order by degree), 6) as bridge_score from deg",
     "orphans": f"{WITH} select id, type from nodes where id not in (select id from deg)",
