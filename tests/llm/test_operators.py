@@ -93,6 +93,23 @@ def test_lines_keep_one_of_each_component(spark):
     assert out[2].text == "" and out[3].text is None and out[4].text == "" and out[5].text == ""
     assert lines.keep_lines(spark, d).columns == d.columns
 
+def test_each_copy_of_an_item_is_judged_alone(spark):
+    item = "A train from Lyon goes 300 km in 2 hours and then rests for a while before it turns back home"
+    a, b = (item.replace("300", x).replace("Lyon", y).replace("2 hours", f"{z} hours") for x, y, z in (("450", "Turin", "7"), ("90", "Ghent", "8")))
+    mixed = item.replace("from Lyon goes 300 km in 2", "from Turin goes 450 km in 7")
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    d = docs(spark, f"so it is. {item}. then {a}.", f"{a}. some words. {b}", "from Lyon and from Turin, 300 km in 2", f"{mixed.replace('and then', 'and then, as we all know well,')}. {a}. {b}")
+    out = decontaminate.contaminated(spark, d, bench, Cuts(spark)).collect()
+    assert sorted(r.doc_id for r in out) == [0, 1, 3]
+
+
+def test_exact_copies_of_short_items_and_numbers(spark):
+    bench = spark.createDataFrame([(1, "Where does Anna live now?"), (2, "3 5 8 13 21 34"), (3, "Name two primes"), (4, "Every Train from Lyon stops at Turin today")], "item_id long, text string")
+    d = docs(spark, "we asked where does anna live now and left", "the row is\n3 5 8 13 21 34\nas said", "please name two primes, he said", "and so on\nEvery Train from Lyon stops at Turin today", "EVERY TRAIN FROM LYON STOPS AT TURIN TODAY", "3 5 8 13 34 21 name two large primes", "then Every Train from Ghent stops at Basel today")
+    out = decontaminate.contaminated(spark, d, bench, Cuts(spark)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in out) == [(0, 1), (1, 2), (2, 3), (3, 4), (4, 4), (6, 4)]
+
+
 
 def test_line_components_against_brute_force(spark):
     rng = np.random.default_rng(7)
