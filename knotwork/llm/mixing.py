@@ -16,8 +16,10 @@ from knotwork.llm.common import Cuts, word_count
 WEIGHTS = (5, 2, 1)
 #: The mix's size as a share of all sizes, and how often a source may be taken at most.
 SHARE, REPEATS = 1.5, 2
-#: Blocks that all sources together get at least (they are of equal size, one token at least), and rows of a shard.
-BLOCKS, SHARD_ROWS = 1 << 20, 4096
+#: Rows of a shard.
+SHARD_ROWS = 4096
+#: Tokens of a block. One, so that small sources meet their targets whatever the size of all; seats are counted in closed form, so their number costs nothing.
+BLOCK = 1
 SEED = "knotwork"
 
 
@@ -87,8 +89,7 @@ def mix(spark: SparkSession, docs: DataFrame, keep: list[str] | None = None, wei
     per.sort(key=lambda r: (r.source is None, r.source or ""))  # str orders by code point
     total = share * sum(r.source_size for r in per)
     want = targets([r.source_size for r in per], [weights[k % len(weights)] for k in range(len(per))], total, repeats)
-    block = max(1, int(total) // BLOCKS)
-    quota = sainte_lague(want, round(sum(want) / block), [repeats * r.source_size // block for r in per])
+    quota = sainte_lague(want, round(sum(want) / BLOCK), [-(-repeats * r.source_size // BLOCK) for r in per])
     plan = spark.createDataFrame([(r.source, r.source_size, want[k], quota[k], max(1, -(-r.n // SHARD_ROWS))) for k, r in enumerate(per)] or [(None, 0, 0.0, 0, 1)], "source string, source_size long, target double, blocks long, shards int")
 
     plan = cuts.table(plan.coalesce(1), "plan")
@@ -103,8 +104,8 @@ def mix(spark: SparkSession, docs: DataFrame, keep: list[str] | None = None, wei
     for k, r in enumerate(per):
         parts = own.get(r.source, [])
         # A shard's last block may be short: one block more than fits is cut to what the shard has.
-        got = sainte_lague([p.tokens for p in parts], quota[k], [-(-repeats * p.tokens // block) for p in parts])
-        dealt += [(p.source, p.shard, p.tokens, min(got[i] * block, repeats * p.tokens)) for i, p in enumerate(parts)]
+        got = sainte_lague([p.tokens for p in parts], quota[k], [-(-repeats * p.tokens // BLOCK) for p in parts])
+        dealt += [(p.source, p.shard, p.tokens, min(got[i] * BLOCK, repeats * p.tokens)) for i, p in enumerate(parts)]
     dealt = cuts.table(spark.createDataFrame(dealt or [(None, 0, 0, 0)], "source string, shard long, tokens long, quota long").coalesce(1), "quotas")
     w = Window.partitionBy("source", "shard").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.join(dealt.withColumnsRenamed({"source": "s", "shard": "h"}), rows.source.eqNullSafe(F.col("s")) & (rows.shard == F.col("h")))

@@ -43,6 +43,14 @@ def test_mixing_bounds(spark):
     assert mixing.mix(spark, docs(spark, "a").limit(0)).count() == 0
 
 
+def test_small_sources_meet_their_targets_beside_large_ones(spark):
+    large = spark.range(10, 310).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 20_000).alias("text"), F.lit("en"), F.lit("large"), F.lit(0), F.lit("x"))
+    rows = mixing.mix(spark, docs(spark, "a", "b", "c d").union(large)).collect()
+    for t in {(r.source_size, r.target) for r in rows}:
+        assert t[1] > 0 and abs(sum(r.taken for r in rows if (r.source_size, r.target) == t) - t[1] * (2 if t[0] == 1 else 1)) <= 2
+    assert all(r.taken > 0 for r in rows if r.doc_id < 3)
+
+
 def test_exact_neighbours():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 8))
