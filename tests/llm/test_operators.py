@@ -93,14 +93,6 @@ def test_template_matches_other_numbers_and_flags_other_text(spark):
     assert [(r.doc_id, r.item_id) for r in out] == [(0, 5)]
 
 
-def test_lines_keep_one_of_each_component(spark):
-    a = "the quick brown fox jumps over the lazy dog near the old river bank today"
-    d = docs(spark, f"{a}\nshort", f"{a.replace('today', 'todaY!')}\nsomething else that has more than five words", a, None, "", f"{a}\n{a}")
-    out = {r.doc_id: r for r in lines.dedup(spark, d).collect()}
-    assert out[0].text == f"{a}\nshort" and out[1].text == "something else that has more than five words"
-    assert out[2].text == "" and out[3].text is None and out[4].text == "" and out[5].text == ""
-    assert lines.keep_lines(spark, d).columns == d.columns
-
 def test_each_copy_of_an_item_is_judged_alone(spark):
     item = "A train from Lyon goes 300 km in 2 hours and then rests for a while before it turns back home"
     a, b = (item.replace("300", x).replace("Lyon", y).replace("2 hours", f"{z} hours") for x, y, z in (("450", "Turin", "7"), ("90", "Ghent", "8")))
@@ -118,6 +110,20 @@ def test_exact_copies_of_short_items_and_numbers(spark):
     assert sorted((r.doc_id, r.item_id) for r in out) == [(0, 1), (1, 2), (2, 3), (3, 4), (4, 4), (6, 4)]
 
 
+def test_lines_keep_one_of_each_component(spark):
+    a = "the quick brown fox jumps over the lazy dog near the old river bank today"
+    d = docs(spark, f"{a}\nshort", f"{a.replace('today', 'todaY!')}\nsomething else that has more than five words", a, None, "", f"{a}\n{a}")
+    out = {r.doc_id: r for r in lines.dedup(spark, d).collect()}
+    assert out[0].text == f"{a}\nshort" and out[1].text == "something else that has more than five words"
+    assert out[2].text == "" and out[3].text is None and out[4].text == "" and out[5].text == ""
+    assert lines.keep_lines(spark, d).columns == d.columns
+
+
+def test_lines_of_few_words_take_part(spark):
+    url = "https://example.org/" + "abcdefghij" * 9
+    out = {r.doc_id: r.text for r in lines.dedup(spark, docs(spark, f"{url}\nnot so\n}}", f"{url}x\nNot  so\n}}\nnow then")).collect()}
+    assert out == {0: f"{url}\nnot so\n}}", 1: "}\nnow then"}
+
 
 def test_line_components_against_brute_force(spark):
     rng = np.random.default_rng(7)
@@ -183,9 +189,6 @@ def test_toxicity_without_labels(spark):
     assert [r.score for r in out.collect()] == [0.5] * 3
 
 
-def test_lexicon_features_count_near_second_person():
-    f = toxicity.features("You are an 1diot!", toxicity.Lexicon())
-    assert f[1] == 1 and f[6] > 0 and f[13] > 0
 def test_licenses_over_several_lines_headers_and_spdx(spark):
     text = {k: t for k, t, _ in licenses.TEXTS}
     wrap = lambda t, mark, n=9: "\n".join(f"{mark} {' '.join(t.split()[k : k + n])}" for k in range(0, len(t.split()), n))
@@ -200,3 +203,6 @@ def test_licenses_over_several_lines_headers_and_spdx(spark):
     assert got == [c[1] for c in cases]
 
 
+def test_lexicon_features_count_near_second_person():
+    f = toxicity.features("You are an 1diot!", toxicity.Lexicon())
+    assert f[1] == 1 and f[6] > 0 and f[13] > 0
