@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -36,6 +37,7 @@ def _code(word: str) -> int:
     return (xxhash.xxh64_intdigest(low.encode("utf-8", "replace")) & ~31) | flags | (not bare) << 4
 
 
+@functools.lru_cache(1)
 def _coded(text: str | None) -> tuple[list[str], np.ndarray]:
     w = (text or "").split()
     if len(_known) > 300_000:
