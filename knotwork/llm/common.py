@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from knotwork import durable
+from knotwork.durable import empty as empty
+
 #: Words are maximal runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -26,34 +26,10 @@ def crc_mod(ident: Column, n: int) -> Column:
     return F.pmod(F.crc32(ident.cast("string").cast("binary")), F.lit(n))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. The session names it in spark.checkpoint.dir; where it does not, as in tests, a folder of this machine is taken and noted there."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("knotwork.shared.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="knotwork-")
-        spark.conf.set("knotwork.shared.dir", at)
-    return at.rstrip("/")
-
-
-class Cuts:
-    """Tables written once to the shared folder, so that lost executors recompute nothing and loops keep short plans.
-
-    drop() removes a table that no later plan reads.
-    """
+class Cuts(durable.Cuts):
+    """As the base, with a codec for tables of long texts."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def empty(df: DataFrame) -> bool:
-    return not df.take(1)

@@ -130,7 +130,7 @@ def test_line_components_against_brute_force(spark):
     stem = "the committee of the northern harbour noted that "
     own = [stem + " ".join(f"word{x}" for x in rng.integers(0, 40, 9)) for _ in range(60)]
     rows = [*own, *(x + " indeed" for x in own[:30]), *(x.replace("harbour", "harbor") for x in own[10:40]), own[0]]
-    d = spark.createDataFrame([(bytes([k // 256, k % 256]), x) for k, x in enumerate(sorted(set(rows)))], "key binary, line string")
+    d = lines.places(docs(spark, *sorted(set(rows))))
     texts = {bytes(r.key): {r.line[i : i + 5] for i in range(len(r.line) - 4)} for r in d.collect()}
     root = {k: k for k in texts}
     for _ in range(8):
@@ -151,12 +151,12 @@ def test_lines_of_one_stem_lose_no_pair(spark):
     for _ in range(600):
         own, half = word(20), word(18)
         rows += [f"{stem} {own}{half}", f"{stem} {own}{word(18)}"]
-    d = spark.createDataFrame([(hashlib.md5(x.encode()).digest(), x) for x in rows], "key binary, line string")
+    d = lines.places(docs(spark, *rows))
     sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in rows]
     close = [(a, b) for a in range(0, len(rows), 40) for b in range(a + 1, len(rows)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert close == [(a, a + 1) for a in range(0, len(rows), 40)]
     got = {bytes(r.node): bytes(r.component) for r in lines.similar_lines(spark, d, Cuts(spark)).collect()}
-    key = [hashlib.md5(x.encode()).digest() for x in rows]
+    key = [hashlib.blake2b(x.encode(), digest_size=16).digest() for x in rows]
     lost = [k for k in range(0, len(rows), 2) if key[k] not in got or got[key[k]] != got.get(key[k + 1])]
     assert not lost and len(set(got.values())) == 600
 
