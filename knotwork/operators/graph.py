@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.plans.durable import cut
-
-DAMPING = 0.85
-#: PageRank has converged when a round moves less than this in L1; rounds at most.
-TOLERANCE, MOST_ROUNDS = 1e-9, 200
+from knotwork.durable import cut
+from knotwork.functions.text import matches as matches
+from knotwork.functions.text import slug as slug
+from knotwork.operators.assemble import dangling as dangling
+from knotwork.operators.metrics import blast_radius as blast_radius
+from knotwork.operators.metrics import both_ways as both_ways
+from knotwork.operators.metrics import bridge_score as bridge_score
+from knotwork.operators.metrics import clustering as clustering
+from knotwork.operators.metrics import components as components
+from knotwork.operators.metrics import degrees as degrees
+from knotwork.operators.metrics import modularity as modularity
+from knotwork.operators.metrics import pagerank as pagerank
 
 
 def node_id(kind: str, key: Column) -> Column:
@@ -30,33 +37,10 @@ def upsert_edges(candidates: DataFrame) -> DataFrame:
     return candidates.where(ends).select("source", "target", "relation").distinct()
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    """(id, out_degree, in_degree, degree) of every node that has an edge; one shuffle, pre-aggregated."""
-    ends = F.array(F.struct(F.col("source").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("target").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
-    rows = edges.select(F.inline(ends))
-    return rows.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"), F.count("*").alias("degree"))
-
-
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = MOST_ROUNDS, tolerance: float | None = TOLERANCE) -> DataFrame:
-    """(id, pagerank) once a round moves less than the tolerance in L1, or after the rounds; without a tolerance all rounds are made. What dangling nodes hold is spread evenly. Every round is one join and one aggregation."""
-    edges = cut(edges.select("source", "target"))
-    out = edges.groupBy("source").agg(F.count("*").alias("n"))
-    graph = cut(nodes.select("id").join(out, F.col("id") == F.col("source"), "left").select("id", "n"))
-    total = graph.count()
-    rank = graph.select("id", "n", F.lit(1.0 / max(total, 1)).alias("r"), F.lit(None).cast("double").alias("old"))
-    for _ in range(rounds):
-        lost, moved = rank.agg(F.coalesce(F.sum(F.when(F.col("n").isNull(), F.col("r"))), F.lit(0.0)), F.sum(F.abs(F.col("r") - F.col("old")))).first()
-        if tolerance is not None and moved is not None and moved < tolerance:
-            break
-        sent = edges.join(rank, F.col("source") == F.col("id")).select("target", (F.col("r") / F.col("n")).alias("x")).groupBy("target").agg(F.sum("x").alias("x"))
-        held = rank.select("id", "n", F.col("r").alias("old"))
-        rank = cut(held.join(sent, F.col("id") == F.col("target"), "left").select("id", "n", ((1 - DAMPING) / total + DAMPING * (F.coalesce("x", F.lit(0.0)) + lost / total)).alias("r"), "old"))
-    return rank.select("id", F.col("r").alias("pagerank"))
-
-
 def levels(edges: DataFrame, start: str, hops: int, reverse: bool = False) -> DataFrame:
     """(id, level): nodes within the hops along (or against) the edges from start, by their least number of hops."""
     a, b = ("target", "source") if reverse else ("source", "target")
+    edges = cut(edges.select("source", "target"))
     seen = edges.sparkSession.createDataFrame([(start, 0)], "id string, level int")
     front = seen
     for k in range(1, hops + 1):
@@ -67,104 +51,19 @@ def levels(edges: DataFrame, start: str, hops: int, reverse: bool = False) -> Da
     return seen
 
 
-def bridge_score(df: DataFrame, column: str) -> DataFrame:
-    """df with bridge_score: 100 times the share of other rows with a smaller value. Ranks come from the counts of distinct values, so that no task sorts all rows."""
-    per = df.groupBy(column).agg(F.count("*").alias("_n"))
-    w = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("_n").over(Window.partitionBy())
-    below = per.select(column, (100.0 * F.coalesce(F.sum("_n").over(w), F.lit(0)) / F.greatest(total - 1, F.lit(1))).alias("bridge_score"))
-    return df.join(below, column)
-
-
-def matches(text: Column, query: str) -> Column:
-    """All words of the query occur in the text, whatever the case."""
-    return reduce(lambda a, b: a & b, (F.contains(F.lower(text), F.lit(t)) for t in query.lower().split()), F.lit(True))
-
-
-def slug(text: Column) -> Column:
-    """Lower case, runs of anything but a-z and 0-9 as one underscore, none at either end."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), "^_|_$", "")
-
-
 def commerce(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the order tables; only the columns used are read."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     kinds = (("region", "r_regionkey", "r_name"), ("nation", "n_nationkey", "n_name"), ("customer", "c_custkey", "c_name"), ("supplier", "s_suppkey", "s_name"), ("part", "p_partkey", "p_name"), ("orders", "o_orderkey", "o_orderstatus"))
     nodes = reduce(DataFrame.unionByName, (t(k).select(node_id(k, F.col(i)).alias("id"), F.lit(k).alias("type"), F.col(n).alias("label"), F.lit(s).alias("seq")) for s, (k, i, n) in enumerate(kinds)))
     links = (("nation", "n_nationkey", "region", "n_regionkey", "in_region", "nation"), ("customer", "c_custkey", "nation", "c_nationkey", "in_nation", "customer"), ("supplier", "s_suppkey", "nation", "s_nationkey", "in_nation", "supplier"), ("orders", "o_orderkey", "customer", "o_custkey", "placed_by", "orders"), ("orders", "l_orderkey", "part", "l_partkey", "contains", "lineitem"), ("part", "l_partkey", "supplier", "l_suppkey", "supplied_by", "lineitem"))
-    edges = reduce(DataFrame.unionByName, (t(f).select(node_id(a, F.col(x)).alias("source"), node_id(b, F.col(y)).alias("target"), F.lit(r).alias("relation")) for a, x, b, y, r, f in links))
-    return upsert_nodes(nodes), upsert_edges(edges)
-
-
-def both_ways(edges: DataFrame) -> DataFrame:
-    """Undirected pairs (a, b), each in both directions, without parallels and self-loops."""
-    return edges.where("source <> target").select(F.inline(F.array(F.struct(F.col("source").alias("a"), F.col("target").alias("b")), F.struct(F.col("target").alias("a"), F.col("source").alias("b"))))).distinct()
-
-
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component, component_size): components are numbered from 0 by size, the largest first, ties by least id; isolated nodes are components.
-
-    Least labels travel along the edges and jump along themselves in every round, until a round changes none.
-    """
-    und = cut(both_ways(edges))
-    label = cut(nodes.select("id", F.col("id").alias("label")))
-    while True:
-        near = und.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
-        step = cut(label.join(near, F.col("id") == F.col("a"), "left").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label")))
-        jump = step.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        new = cut(step.join(jump, "label").select("id", "old", F.least("label", "far").alias("label")))
-        if not new.where("old <> label").take(1):
-            break
-        label = new.select("id", "label")
-    sizes = new.groupBy("label").agg(F.count("*").alias("component_size"))
-    # One row for each component; the numbering sorts these alone.
-    number = sizes.select("label", "component_size", (F.row_number().over(Window.orderBy(F.desc("component_size"), "label")) - 1).alias("component"))
-    return new.join(number, "label").select("id", "component", "component_size")
-
-
-def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, clustering): twice the links among neighbours by d(d-1), 0 below two neighbours. Wedges start from the end of lower degree, so hubs make few."""
-    und = both_ways(edges)
-    deg = cut(und.groupBy("a").agg(F.count("*").alias("d")))
-    rank = lambda d, i: F.struct(F.col(d), F.col(i))
-    up = cut(und.join(deg, "a").join(deg.toDF("b", "e"), "b").where(rank("d", "a") < rank("e", "b")).select("a", "b", "e"))
-    wedge = up.alias("x").join(up.alias("y"), F.col("x.a") == F.col("y.a")).where(F.struct("x.e", "x.b") < F.struct("y.e", "y.b")).select(F.col("x.a").alias("u"), F.col("x.b").alias("v"), F.col("y.b").alias("w"))
-    closed = wedge.join(up, (F.col("v") == up.a) & (F.col("w") == up.b)).select(F.explode(F.array("u", "v", "w")).alias("id"))
-    count = closed.groupBy("id").agg(F.count("*").alias("t"))
-    joined = nodes.select("id").join(deg, F.col("id") == F.col("a"), "left").join(count, "id", "left")
-    return joined.select("id", F.when(F.col("d") > 1, 2.0 * F.coalesce("t", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).otherwise(0.0).alias("clustering"))
-
-
-def blast_radius(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, blast_radius): how many other nodes reach a node along the edges. The closure grows by new pairs only."""
-    step = edges.select("source", "target").where("source <> target").distinct()
-    front = known = cut(step)
-    while True:
-        onward = front.join(step.toDF("target", "next"), "target").select("source", F.col("next").alias("target")).distinct()
-        front = cut(onward.join(known, ["source", "target"], "left_anti"))
-        if not front.take(1):
-            break
-        known = cut(known.unionByName(front))
-    count = known.where("source <> target").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n"))
-    return nodes.select("id").join(count, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("blast_radius"))
-
-
-def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row, modularity: of labels (id, label) over the undirected simple graph; 0 without edges."""
-    und = both_ways(edges).join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
-    by = und.groupBy(F.col("la").alias("label")).agg(F.count("*").alias("tot"), F.count_if(F.col("la") == F.col("lb")).alias("inside"))
-    sums = by.agg(F.sum("tot").alias("m2"), F.sum("inside").alias("i"), F.sum(F.col("tot").cast("double") * F.col("tot")).alias("sq"))
-    return sums.select(F.coalesce(F.col("i") / F.col("m2") - F.col("sq") / (F.col("m2").cast("double") * F.col("m2")), F.lit(0.0)).alias("modularity"))
+    # Keys are made distinct before they become names; the relations' prefixes keep them apart.
+    pairs = lambda f, x, y: t(f).select(F.col(x).alias("x"), F.col(y).alias("y")).distinct() if f == "lineitem" else t(f).select(F.col(x).alias("x"), F.col(y).alias("y"))
+    edges = reduce(DataFrame.unionByName, (pairs(f, x, y).select(node_id(a, F.col("x")).alias("source"), node_id(b, F.col("y")).alias("target"), F.lit(r).alias("relation")) for a, x, b, y, r, f in links))
+    return upsert_nodes(nodes), edges.where("source is not null and target is not null")
 
 
 def induced(edges: DataFrame, members: DataFrame) -> DataFrame:
     """The edges with both ends among members (id)."""
     ends = members.select("id")
     return edges.join(ends.toDF("source"), "source", "left_semi").join(ends.toDF("target"), "target", "left_semi")
-
-
-def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The edges with an end that is no node."""
-    ids = nodes.select("id").distinct()
-    out = edges.join(ids.select(F.col("id").alias("source"), F.lit(True).alias("s")), "source", "left").join(ids.select(F.col("id").alias("target"), F.lit(True).alias("t")), "target", "left")
-    return out.where("s is null or t is null").drop("s", "t").select(*edges.columns)
