@@ -6,6 +6,7 @@ import heapq
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,8 +17,10 @@ from knotwork.llm.common import Cuts, word_count
 WEIGHTS = (5, 2, 1)
 #: The mix's size as a share of all sizes, and how often a source may be taken at most.
 SHARE, REPEATS = 1.5, 2
-#: Rows of a shard.
-SHARD_ROWS = 4096
+#: Rows of a shard, and shards of a source at most; beyond, shards grow.
+SHARD_ROWS, SHARDS = 4096, 4096
+#: Copies of one row that are given back together.
+PART = 4096
 #: Tokens of a block. One, so that small sources meet their targets whatever the size of all; seats are counted in closed form, so their number costs nothing.
 BLOCK = 1
 SEED = "knotwork"
@@ -71,49 +74,58 @@ def sainte_lague(votes: Sequence[float], seats: int, most: Sequence[int] | None
     return [int(x) for x in got]
 
 
-def mix(spark: SparkSession, docs: DataFrame, keep: list[str] | None = None, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = SEED, cuts: Cuts | None = None) -> DataFrame:
-    """For each row of docs: the columns in keep (doc_id), size, source_size, target, taken.
+def mix(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = SEED, cuts: Cuts | None = None) -> DataFrame:
+    """doc_id, size, source_size, target and taken for each row of docs.
 
     Blocks of equal token counts go to the sources by their targets, and within a source to its shards by their tokens, both by
     Sainte-Lague. A shard's rows stand in a seeded order; its tokens are one sequence of blocks. A quota first takes the whole
     sequence as often as it holds it, then the first blocks of what the seed put first, so a row's taken words are whole passes plus its
-    overlap with these blocks: at most `repeats` times its size. Rows that repeat one another stand side by side in that order.
+    overlap with these blocks: at most `repeats` times its size. Rows of one id, source and size are counted before the shuffle and
+    stand side by side in that order, so an id (or none) that very many rows repeat is no burden.
 
-    Null texts have size 0 and are never taken; the null source comes last in order and is a source of its own. An empty table gives no rows.
-    The driver holds one line for each source and shard of SHARD_ROWS rows in the form of two numbers; no texts and no document ids.
+    Null texts have size 0 and are never taken; the null source comes last in order and is a source of its own; null ids stay null.
+    Texts of any length are read whole; an empty table gives no rows; other columns are not read.
+    The driver holds one line for each source. Shards are dealt in one group for each source, of SHARDS rows at most.
     """
-    cuts, keep = cuts or Cuts(spark), keep or ["doc_id"]
-    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    narrow = cuts.table(narrow, "sizes")
-    per = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
+    cuts = cuts or Cuts(spark)
+    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies"))
+    sizes = cuts.table(sizes, "sizes")
+    per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum("copies").alias("n")).collect()
     per.sort(key=lambda r: (r.source is None, r.source or ""))  # str orders by code point
     total = share * sum(r.source_size for r in per)
     want = targets([r.source_size for r in per], [weights[k % len(weights)] for k in range(len(per))], total, repeats)
     quota = sainte_lague(want, round(sum(want) / BLOCK), [-(-repeats * r.source_size // BLOCK) for r in per])
-    plan = spark.createDataFrame([(r.source, r.source_size, want[k], quota[k], max(1, -(-r.n // SHARD_ROWS))) for k, r in enumerate(per)] or [(None, 0, 0.0, 0, 1)], "source string, source_size long, target double, blocks long, shards int")
-
+    lines = [(k, r.source, r.source_size, want[k], quota[k] * BLOCK, min(SHARDS, max(1, -(-r.n // SHARD_ROWS)))) for k, r in enumerate(per)]
+    plan = spark.createDataFrame(lines, "source_no int, source string, source_size long, target double, blocks long, shards int")
     plan = cuts.table(plan.coalesce(1), "plan")
-    order = F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = narrow.join(plan, narrow.source.eqNullSafe(plan.source)).select("doc_id", narrow.source, "size", "source_size", "target", order.alias("at"), F.pmod(F.xxhash64("doc_id"), F.col("shards")).alias("shard"))
+    at = F.xxhash64(F.lit(seed), "doc_id", "size")
+    rows = sizes.withColumnRenamed("source", "own").join(plan, F.col("own").eqNullSafe(F.col("source")))
+    rows = rows.select("doc_id", "source_no", "size", "copies", "source_size", "target", "blocks", at.alias("at"), F.pmod(F.xxhash64(F.lit(7), "doc_id", "size"), F.col("shards")).cast("int").alias("shard"))
     rows = cuts.table(rows, "rows")
-    shard = rows.groupBy("source", "shard").agg(F.sum("size").alias("tokens")).orderBy("source", "shard").collect()
-    own: dict[str | None, list] = {}
-    for r in shard:
-        own.setdefault(r.source, []).append(r)
-    dealt = []
-    for k, r in enumerate(per):
-        parts = own.get(r.source, [])
-        # A shard's last block may be short: one block more than fits is cut to what the shard has.
-        got = sainte_lague([p.tokens for p in parts], quota[k], [-(-repeats * p.tokens // BLOCK) for p in parts])
-        dealt += [(p.source, p.shard, p.tokens, min(got[i] * BLOCK, repeats * p.tokens)) for i, p in enumerate(parts)]
-    dealt = cuts.table(spark.createDataFrame(dealt or [(None, 0, 0, 0)], "source string, shard long, tokens long, quota long").coalesce(1), "quotas")
-    w = Window.partitionBy("source", "shard").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.join(dealt.withColumnsRenamed({"source": "s", "shard": "h"}), rows.source.eqNullSafe(F.col("s")) & (rows.shard == F.col("h")))
-    placed = placed.withColumn("upto", F.sum("size").over(w))
+    tokens = rows.groupBy("source_no", "shard").agg(F.sum(F.col("size") * F.col("copies")).alias("tokens"), F.first("blocks").alias("blocks"))
+    deal = tokens.withColumn("repeats", F.lit(repeats)).groupBy("source_no").applyInArrow(_deal, "source_no int, shard int, tokens long, quota long")
+    deal = cuts.table(deal, "quotas")
+    w = Window.partitionBy("source_no", "shard").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.join(deal, ["source_no", "shard"]).withColumn("upto", F.sum(F.col("size") * F.col("copies")).over(w))
+    # Rows that repeat are given back by parts of PART, dealt out anew, so that no task writes all of them.
+    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / PART))
+    placed = placed.withColumn("begin", F.col("upto") - F.col("size") * F.col("copies")).drop("at", "upto").withColumn("part", F.explode_outer(parts))
+    many = placed.where(F.col("copies") > PART).hint("rebalance")
+    one = placed.where(F.col("copies") <= PART).unionByName(many)
+    one = one.withColumn("copy", F.explode_outer(F.sequence(F.col("part") * PART, F.least((F.col("part") + 1) * PART, F.col("copies")) - 1)))
     passes = F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(0)
     rest = F.col("quota") - passes * F.col("tokens")
-    part = F.greatest(F.lit(0), F.least(F.col("upto"), rest) - (F.col("upto") - F.col("size")))
-    return placed.select("doc_id", "size", "source_size", "target", (passes * F.col("size") + part).cast("long").alias("taken"))
+    lo = F.col("begin") + F.col("copy") * F.col("size")
+    part = F.greatest(F.lit(0), F.least(lo + F.col("size"), rest) - lo)
+    return one.select("doc_id", "size", "source_size", "target", (passes * F.col("size") + part).cast("long").alias("taken"))
+
+
+def _deal(t: pa.Table) -> pa.Table:
+    """Quotas of one source's shards."""
+    rows = sorted(t.to_pylist(), key=lambda r: r["shard"])
+    got = sainte_lague([r["tokens"] for r in rows], rows[0]["blocks"], [r["repeats"] * r["tokens"] for r in rows])
+    kinds = pa.schema([("source_no", pa.int32()), ("shard", pa.int32()), ("tokens", pa.int64()), ("quota", pa.int64())])
+    return pa.Table.from_pylist([{**{c: r[c] for c in ("source_no", "shard", "tokens")}, "quota": g} for r, g in zip(rows, got, strict=True)], kinds)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
