@@ -15,10 +15,12 @@ from knotwork.llm.common import Cuts
 from knotwork.llm.components import components
 
 RADIUS, SEED, SHINGLE = 3, 42, 3
-#: Fingerprints in one tree at most; larger shards are dealt out as pairs of chunks.
-CHUNK = 8192
+#: Fingerprints of a shard, and in one tree at most; larger shards are dealt out as pairs of chunks.
+SHARD, CHUNK = 4096, 8192
 #: Fingerprints that a node keeps flat before it grows children.
-LEAF = 32
+LEAF = 4
+#: A fingerprint is hot if more than one in so many rows have it; there are no more hot ones than that.
+HOT = 1000
 
 
 def fingerprint(text: bytes) -> int:
@@ -161,13 +163,16 @@ def shard_keys(fp: Column, radius: int, blocks: int) -> Column:
 def link_fingerprints(spark: SparkSession, fps: DataFrame, cuts: Cuts, radius: int = RADIUS) -> DataFrame:
     """(node, component) of the distinct fingerprints that have a link, component being one value for each component.
 
-    A shard is what shares a choice of blocks; it has a BK-tree and all its members as queries. Shards over CHUNK values are dealt out as
+    A shard gathers all that share any of some values of a choice of blocks, so that it holds about SHARD fingerprints; its BK-tree is grown
+    where its fingerprints are and all of them are queries of it, which follow the edges within the radius. Fingerprints are never
+    broadcast, as that would take all of them through the driver. Shards over CHUNK values (many that share one value) are dealt out as
     pairs of chunks, each pair a tree of bounded size, so a hot shard spreads over many tasks and nothing is cut off. More blocks
-    (longer keys, smaller shards) are taken as the distinct fingerprints grow.
+    (longer keys) are taken as the distinct fingerprints grow.
     """
     n = fps.count()
     blocks = radius + (1 if n < 1 << 24 else 2 if n < 1 << 31 else 3)
-    shards = fps.select("fp", F.explode(shard_keys(F.col("fp"), radius, blocks)).alias("k")).select("fp", "k.i", "k.v")
+    several = F.pmod(F.xxhash64("k.i", "k.v"), F.lit(max(1, n // SHARD)))
+    shards = fps.select("fp", F.explode_outer(shard_keys(F.col("fp"), radius, blocks)).alias("k")).select("fp", "k.i", several.alias("v"))
     counts = shards.groupBy("i", "v").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("k"), F.count("*").alias("n")).where("n > 1").drop("n")
     own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(o, own).alias("a"), F.greatest(o, own).alias("b")))
@@ -185,25 +190,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = RADIUS,
     """
     cuts = cuts or Cuts(spark)
     every = cuts.table(fingerprints(docs), "fp")
-    fps = cuts.table(every.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
+    fps = cuts.table(every.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fps")
     linked = link_fingerprints(spark, fps, cuts, radius)
     named = fps.join(linked.withColumnRenamed("node", "fp"), "fp")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("fp", "component_id")
-    all_fps = fps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    joined = every.join(all_fps, "fp", "left")
+    all_fps = cuts.table(fps.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "fp-groups")
+    # What very many rows share is sent to all of them; there are at most HOT such values.
+    hot = all_fps.where(F.col("n") * HOT > every.count()).select("fp", F.col("component_id").alias("of_hot"))
+    split = every.join(F.broadcast(hot), "fp", "left")
+    cold = split.where("of_hot is null").drop("of_hot").join(all_fps.drop("n"), "fp", "left")
+    joined = cold.unionByName(split.where("of_hot is not null").withColumnRenamed("of_hot", "component_id"))
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with one row of each group left, that of the smallest doc_id; of rows that repeat this doc_id one stays. Rows with a null doc_id stay."""
+    """docs with one row of each group left, that of the smallest doc_id; of rows that repeat this doc_id the least by its columns in order. Rows with a null doc_id stay."""
     cuts = Cuts(spark)
     group = cuts.table(near_duplicates(spark, docs, cuts=cuts), "groups")
     kept = group.where("doc_id = component_id").groupBy("doc_id").agg((F.count("*") > 1).alias("again"))
     gone = group.where("doc_id is not null").select("doc_id").distinct().join(kept.where("not again").select("doc_id"), "doc_id", "left_anti")
     gone = cuts.table(gone, "gone")
-    again = kept.where("again").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    again = docs.join(kept.where("again").select("doc_id"), "doc_id", "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = again.groupBy("doc_id").agg(F.min(row).alias("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns]).unionByName(first)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
