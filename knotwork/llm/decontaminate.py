@@ -155,8 +155,9 @@ def contaminated(spark: SparkSession, docs: DataFrame, bench: DataFrame, cuts: C
 
     A place is what stands at one distance (of the position in the text from that in the item), or at distances that differ by less than the
     item has windows, so that words put in between do not part it; two copies never share one. The best place is given.
-    th is the text's hash, so rows that repeat an id with another text are told apart. Null ids, null texts, texts and items without words
-    match nothing; empty tables give no rows.
+    th is the text's hash, so rows that repeat an id with another text are told apart, and rows without an id are found by their texts (their
+    doc_id is null). Items without an id, null texts, texts and items without words match nothing; texts of any length are read whole;
+    other columns are not read; empty tables give no rows.
     """
     items = cuts.table(bench.where("item_id is not null").select(F.col("item_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), "text").mapInArrow(_windows(None, None), FOUND), "items")
     least = items.groupBy("h").agg(F.count("*").alias("n"))
@@ -164,7 +165,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, bench: DataFrame, cuts: C
     # Collected below its checked bound only.
     only = np.sort(np.array(least.select("h").toArrow().column(0).to_numpy(), np.int64)) if 0 < n <= SENT else None
     sizes = sorted((r["size"], r.literal) for r in items.select("size", "literal").distinct().collect())
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), "text")
     found = texts.mapInArrow(_windows(only, sizes), FOUND).select(F.col("id").alias("doc_id"), F.col("th").alias("dth"), "h", F.col("at").alias("dat"), F.col("slots").alias("filled"))
     if not n:
         found = found.limit(0)
@@ -192,6 +193,8 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs whose text holds no benchmark item."""
-    out = contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Cuts(spark)).select("doc_id", "th").distinct()
-    return docs.withColumn("_th", F.xxhash64("text")).join(out.toDF("doc_id", "_th"), ["doc_id", "_th"], "left_anti").select(*docs.columns)
+    """The rows of docs whose text holds no benchmark item, those without an id included; columns of any names pass through."""
+    out = contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Cuts(spark)).select(F.col("doc_id").alias("d"), "th").distinct()
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("t", F.xxhash64("row.text"))
+    clean = row.join(out, F.col("row.doc_id").cast("long").eqNullSafe(F.col("d")) & (F.col("t") == F.col("th")), "left_anti")
+    return clean.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -89,7 +89,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, cuts: Cuts, m
 
 
 def score(docs: DataFrame, rules: Rules, *more: Column) -> DataFrame:
-    """doc_id, what `more` names, and score, one row for each row of docs."""
+    """doc_id, what `more` names, and score, one row for each row of docs, repeated rows and null ids included. Null and empty texts have statistics of 0, texts of any length are read whole, an empty table gives no rows, other columns are not read."""
     stats = docs.select("doc_id", *more, *[c.alias(k) for k, c in statistics(F.col("text")).items()])
     return stats.withColumn("score", rules.column()).drop(*STATS)
 
