@@ -115,7 +115,7 @@ def line_lead(spark: SparkSession, d: str) -> DataFrame:
 
 def part_filter(spark: SparkSession, d: str) -> DataFrame:
     """Parts of a size and a word in the name, dearest first."""
-    rows = _t(spark, d, "part").where((F.col("p_size") >= 10) & g.matches(F.concat_ws(" ", "p_name", "p_type"), "part 1"))
+    rows = _t(spark, d, "part").where((F.col("p_size") >= 10) & g.matches(F.concat_ws(" ", "p_name", "p_type"), "ring"))
     return rows.select("p_partkey", "p_name", "p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
 
 
@@ -163,7 +163,7 @@ ORACLES = {
     "event_usage": "select user_id, event_type, count(*) as n from events group by all",
     "top_orders": "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey)::int as place from orders qualify place <= 3",
     "line_lead": "with l as (select doc_id, string_split(text, chr(10)) as x from documents), p as (select doc_id, unnest(range(len(x))) as pos, unnest(x) as line from l) select doc_id, pos, length(line) as n, lead(length(line)) over (partition by doc_id order by pos) as next_n from p",
-    "part_filter": "select p_partkey, p_name, p_brand from part where p_size >= 10 and lower(p_name || ' ' || p_type) like '%part%' and lower(p_name || ' ' || p_type) like '%1%' order by p_retailprice desc, p_partkey",
+    "part_filter": "select p_partkey, p_name, p_brand from part where p_size >= 10 and lower(p_name || ' ' || p_type) like '%ring%' order by p_retailprice desc, p_partkey",
     "brand_coverage": "select p_brand, count(*) as n, count(l_partkey) as n_used, round(count(l_partkey)::double / count(*), 9) as coverage from part left join (select distinct l_partkey from lineitem) on l_partkey = p_partkey group by p_brand",
     "path_owner": f"with e as ({LINKS}), p as (select distinct target as path from e) select x.path, arg_max(y.path, length(y.path)) as owner from p x join p y on starts_with(x.path, y.path || '/') group by x.path",
     "titles": "with k as (select c_custkey, c_mktsegment, row_number() over (partition by c_nationkey, c_mktsegment order by c_custkey) as k from customer) select c_custkey, case when k = 1 then c_mktsegment else c_mktsegment || ' (' || k || ')' end as title from k",
