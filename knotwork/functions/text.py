@@ -101,10 +101,13 @@ def front_matter(text: Column) -> Column:
 def spans(text: Column, query: str) -> Column:
     """Array of (lo, hi): where the query's words stand in the text, whatever the case; a span that begins within an earlier one is left out."""
     low = F.lower(text)
-    found = [
-        F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i, t=t: F.when(F.substr(low, i, F.lit(len(t))) == t, F.struct((i - 1).alias("lo"), (i - 1 + len(t)).alias("hi")))), lambda x: x.isNotNull())
-        for t in tokens(query)
-    ]
+    places = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
+
+    def of(word: str) -> Column:
+        at = F.transform(places, lambda i: F.when(F.substr(low, i, F.lit(len(word))) == word, F.struct((i - 1).alias("lo"), (i - 1 + len(word)).alias("hi"))))
+        return F.filter(at, lambda x: x.isNotNull())
+
+    found = [of(t) for t in tokens(query)]
     if not found:
         return F.array().cast("array<struct<lo:int,hi:int>>")
     every = F.array_sort(F.concat(*found))

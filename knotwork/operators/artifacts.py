@@ -65,7 +65,7 @@ class Emit:
         self.nodes: list[DataFrame] = []
         self.edges: list[DataFrame] = []
 
-    def node(self, df: DataFrame, ident: Column, kind: str, order: int, stub: bool = False, filed: bool = True, **attrs: Column) -> None:
+    def node(self, df: DataFrame, ident: Column, kind: str, order: int, /, stub: bool = False, filed: bool = True, **attrs: Column) -> None:
         own = {"type": F.lit(kind), "source_file": F.col("path") if filed else F.lit(None), **attrs}
         cols = [own[c].cast(t).alias(c) if c in own else F.lit(None).cast(t).alias(c) for c, t in S.KINDS.items()]
         rows = df.select(ident.alias("id"), F.struct(F.lit(order).alias("pass"), F.col("path").alias("file"), F.col("at").cast("long").alias("n")).alias("seq"), F.lit(stub).alias("stub"), *cols)

@@ -142,12 +142,12 @@ def app_diagrams(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, diagram) of apps: panels, the workflows that render them, other apps they lead to, and the data of the workflows, one hop on."""
     app = nodes.where("type = 'app'").select("id", "label")
     e = lambda rel, ctx=None: edges.where((F.col("relation") == rel) & ((F.col("context") == ctx) if ctx else F.lit(True))).select("source", "target")
-    step = lambda at, rel, ctx=None: at.join(e(rel, ctx), F.col("nid") == F.col("source")).select("id", "source", F.col("target").alias("nid"))
+    step = lambda at, rel, ctx=None: at.select("id", F.col("nid").alias("source")).join(e(rel, ctx), "source").select("id", "source", F.col("target").alias("nid"))
     root = app.select("id", F.lit(None).cast("string").alias("source"), F.col("id").alias("nid"))
     panels = step(root, "contains", "panel")
     subs = step(panels, "contains", "sub-panel")
     flows = step(panels, "rendered_by").unionByName(step(subs, "rendered_by"))
-    data = step(flows.select("id", "source", "nid"), "depends_on_data")
+    data = step(flows, "depends_on_data")
     leads = step(root, "navigates_to")
     parts = [(root, 0, '["', '"]', " --> "), (panels, 1, '("', '")', " --> "), (subs, 2, '("', '")', " --> "), (flows, 3, '[["', '"]]', " --> "), (leads, 4, '["', '"]', " -.->|navigates| "), (data, 5, '[("', '")]', " --> ")]
     every = None

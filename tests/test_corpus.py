@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from knotwork.functions import text as T
 from knotwork.operators import corpus, query
@@ -123,5 +124,5 @@ def test_warnings_ingest_and_archives(spark, tmp_path):
 
 
 def test_spans_do_not_overlap(spark):
-    got = spark.createDataFrame([("abcabc xyz",)], "t string").select(T.spans(__import__("pyspark.sql.functions", fromlist=["col"]).col("t"), "abc bca z").alias("s")).first().s
+    got = spark.createDataFrame([("abcabc xyz",)], "t string").select(T.spans(F.col("t"), "abc bca z").alias("s")).first().s
     assert [(x.lo, x.hi) for x in got] == [(0, 3), (3, 6), (9, 10)]

@@ -3,20 +3,23 @@ import numpy as np
 import pytest
 
 from knotwork.operators import graph
-from knotwork.plans import links, registry
+from knotwork.plans import explore, links, registry
 
 AT = "/root/testdata/sf0.001"
 
 
-QUERIES, ORACLES = registry.QUERIES | links.QUERIES, registry.ORACLES | links.ORACLES
+QUERIES, ORACLES = registry.QUERIES | links.QUERIES | explore.QUERIES, registry.ORACLES | links.ORACLES | explore.ORACLES
+#: Queries whose result may be empty at the smallest scale.
+BARE = {"orphans", "path_owner", "articulation_points"}
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLES)
 def test_same_rows_as_sql(spark, name):
     db = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents pages conversations".split():
         db.execute(f"create view {t} as select * from '{AT}/{t}.parquet'")
     want = db.sql(ORACLES[name])
+    assert name in BARE or want.limit(1).fetchall()
     got = QUERIES[name](spark, AT).select(*want.columns)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want.fetchall(), key=repr)
 
