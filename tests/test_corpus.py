@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from knotwork.functions import text as T
-from knotwork.operators import corpus, query
-from knotwork.sinks import notes, reports, tables
+from knotwork.operators import corpus
+from knotwork.sinks import notes, tables
 from knotwork.sources import files, markdown
 
 WF = {
@@ -28,7 +28,7 @@ PROMPT = "# LLM spec\nBackend `type`: `LLM`, `CODE`\nAn `LLM` step should run-it
 
 
 @pytest.fixture(scope="module")
-def graph(spark):
+def graph(spark, tmp_path_factory):
     rows = [
         ("flows/w1.wf", json.dumps(WF)), ("apps/a1.app", json.dumps(APP)), ("bo/b1.bo", json.dumps({"objectCode": "B1", "name": "Thing", "objectProperties": {"tools": [{"name": "get", "resourcePath": "/r?x=1"}]}})),
         ("t/one.tool", json.dumps({"name": "One", "type": "EMAIL", "specification": {"baseObjectCode": "B1"}})), ("t/two.tool", json.dumps({"toolCode": "T2", "specification": {"baseObjectCode": "D9"}})), ("t/bad.tool", "{"),
@@ -38,7 +38,9 @@ def graph(spark):
     f = files.shaped(spark.createDataFrame([(p, "upstream", c) for p, c in rows], "path string, origin string, content string"))
     text = spark.createDataFrame([("help", "usage\n  do-thing\n    Does a workflow thing\n  run-workflow-test\n    Runs\n")], "path string, content string")
     n, e = corpus.graph(spark, f, text, "tool", "base")
-    return n.cache(), e.cache()
+    at = tmp_path_factory.mktemp("graph")
+    tables.store(n, e, str(at))
+    return spark.read.parquet(f"{at}/nodes"), spark.read.parquet(f"{at}/edges")
 
 
 def rows(e, relation):
@@ -82,18 +84,17 @@ def test_what_is_written_about_them(graph):
     assert rows(e, "documents") == [("doc:flows/README.md", "wf:W1", None)] and ("skill:base", "resource:.agents/base/run.sh", "script") in rows(e, "ships")
 
 
-def test_sinks(spark, graph, tmp_path):
-    n, e = graph
+def test_notes_and_diagrams(spark):
+    n = spark.createDataFrame([("wf:W1", "Flow", "workflow", None, "W1", None, "s"), ("node:W1/A", "Start", "workflowNode", "START", "A", "W1", None), ("node:W1/B", "Say", "workflowNode", "LLM", "B", "W1", None), ("app:A1", "App", "app", None, "A1", None, None), ("wf:W2", "flow", "workflow", None, "W2", None, None)], "id string, label string, type string, nodeType string, code string, workflow string, summary string")
+    n = n.selectExpr("*", *[f"cast(null as string) {c}" for c in ("businessObject", "app", "owner", "parent")])
+    e = spark.createDataFrame([("wf:W1", "node:W1/A", "contains", None), ("wf:W1", "node:W1/B", "contains", None), ("node:W1/A", "node:W1/B", "flows_to", "yes"), ("app:A1", "wf:W1", "exposes_agent", "x")], "source string, target string, relation string, context string")
     got = {r.id: r for r in notes.notes(n, e).collect()}
-    assert got["wf:W1"].path == "Workflows/Flow.md" and "flowchart TD" in got["wf:W1"].content and "### Contains" in got["wf:W1"].content and "node:W1/START" not in got
-    assert "flowchart LR" in got["app:A1"].content and 'tags: ["type/app"' in got["app:A1"].content
-    tables.store(n, e, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/edges").count() == e.count()
-    assert tables.payload(n, e).where("part = 'edge'").count() == e.count()
-    assert {r.value for r in tables.run_report(n, e).where("facet = 'stub'").collect()} >= {"workflow", "app"}
-    assert reports.findings(n, e).count() == 3 and reports.data_flow(n, e).first().object == "Thing"
-    assert {r.status for r in reports.node_type_report(n).collect()} >= {"specified and used", "specified, unused", "used, no specification"}
-    assert query.domain_facts(e, n, "wf:W1").where("fact = 'exposed by'").first().id == "app:A1"
+    assert got["wf:W1"].path == "Workflows/Flow.md" and got["wf:W2"].path == "Workflows/flow (2).md" and "node:W1/A" not in got
+    assert 'n0 -->|"yes"| n1' in got["wf:W1"].content and "### Contains" in got["wf:W1"].content and "> s" in got["wf:W1"].content
+    assert "flowchart LR" in got["app:A1"].content and 'tags: ["type/app"]' in got["app:A1"].content
+
+
+def test_bundle_takes_texts_as_they_are():
     assert tables.bundle("<a><b>", {"<a>": "x"}, {"<b>": "$& </script>"}) == "<style>\nx\n</style><script>\n$& <\\/script>\n</script>"
 
 
