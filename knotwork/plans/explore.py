@@ -450,7 +450,8 @@ ORACLES = {
     "text_counts": "select doc_id, len(string_split(text, chr(10))) as lines, strlen(text) as bytes from documents",
     "path_parts": "with p as (select page_id, regexp_replace(url, '^[a-z]+://', '') as p from pages) select page_id, split_part(p, '/', -1) as base, regexp_replace(regexp_replace(p, '[^/]*$', ''), '/$', '') as dir from p",
     "mentions": "select distinct doc_id, unnest(regexp_extract_all(text, '[ .,]([A-Z]{4,})[ .,]', 1)) as token from documents",
-    "significant_digits": "select o_orderkey, format('{:.3e}', o_totalprice / 7)::double as x from orders",
+    # Exact ties go to the larger value; DuckDB's format takes the even digit.
+    "significant_digits": "select o_orderkey, format('{:.3e}', nextafter(o_totalprice / 7, 'infinity'::double))::double as x from orders",
     "note_path_dedup": "with p as (select p_partkey, left(trim(replace(p_type || ': ' || p_name, ':', '-')), 110) as path from part), k as (select *, row_number() over (partition by lower(path) order by p_partkey) as k from p) select p_partkey, case when k = 1 then path else path || ' (' || k || ')' end as note_path from k",
     "node_tags": f"{_N} select id, 'type/part,family/' || label || case when length(label) > 9 then ',finding/cut-vertex' else '' end || ',layer/specs-vocabulary' as tags from nodes where type = 'part'",
     "note_matter": f"{_N} select id, '---' || chr(10) || 'title: \"' || label || '\"' || chr(10) || 'type: \"' || type || '\"' || chr(10) || 'code: \"' || split_part(id, ':', -1) || '\"' || chr(10) || 'degree: 1' || chr(10) || 'tags: [\"type/' || type || '\"]' || chr(10) || '---' as matter from nodes where type in ('nation', 'region')",
@@ -460,7 +461,7 @@ ORACLES = {
     "degree_report": f"{_RANKED} select id, degree from rn where type = 'part' order by coalesce(degree, 0) desc, id limit 20",
     "risk_card": f"with recursive e as ({links.FLOW}), r as (select source, target from e union select r.source, e.target from r join e on e.source = r.target), b as (select n.id, count(r.source) as x from {links._ENDS} n left join r on r.target = n.id and r.source <> r.target group by n.id) select id, 'If you change this' as head, case when x = 0 then 'Nothing depends on it.' when x = 1 then '1 artifact can reach it.' else x || ' artifacts can reach it.' end as body from b union all select id, 'Connector', 'More paths run through it than through 96% of the nodes.' from b where x > 3",
     "rank_grid_layout": f"{_L}, {_LDEG}, k as (select id, row_number() over (order by degree desc, id) - 1 as p from ld), c as (select greatest(1, ceil(sqrt(count(*) * 1.7)))::bigint as cols, count(*) as n from ld) select id, round((p % cols - (cols - 1) / 2.0) * 96, 6)::double as x, round((p // cols - (ceil(n::double / cols) - 1) / 2.0) * 62, 6)::double as y from k cross join c",
-    "radial_layout": f"{_L}, {_HOPS.format(name='h', start='page:0', most=3)}, {_LDEG}, m as (select id, min(hop) as hop from h group by id), k as (select m.id, hop, (row_number() over (partition by hop order by degree desc, m.id) - 1)::double / count(*) over (partition by hop) * 2 * pi() as a, case when hop = 0 then 0 else hop::double / greatest(max(hop) over (), 1) * 330 + 70 end as r from m join ld using (id)) select id, round(cos(a) * r, 5) as x, round(sin(a) * r, 5) as y from k",
+    "radial_layout": f"{_L}, {_HOPS.format(name='h', start='page:0', most=3)}, {_LDEG}, m as (select id, min(hop) as hop from h group by id), k as (select m.id, hop, (row_number() over (partition by hop order by degree desc, m.id) - 1)::double / count(*) over (partition by hop) * 2 * pi() as a, case when hop = 0 then 0 else hop::double / greatest(max(hop) over (), 1) * 330 + 70 end as r from m join ld using (id)) select id, round(cos(a) * r, 5) + 0.0::double as x, round(sin(a) * r, 5) + 0.0::double as y from k",
     "level_layout": f"{_FLOWL}, s as (select level, count(*) as n, row_number() over (order by level) - 1 as col, count(*) over () as cols from fp group by level) select id, round((col - (cols - 1) / 2.0) * 210, 6)::double as x, round((place - (n - 1) / 2.0) * 52, 6)::double as y from fp join s using (level)",
     "node_sizes": f"{_L}, {_LDEG} select id, round(3.4::double + 12 * sqrt(degree::double / max(degree) over ()), 9) as size, round((degree * 137.508::double) % 360, 6) as hue from ld",
     "artifact_nodes": f"with {_STEPS}, n(type, layer, stub, id) as (select 'deeplink', 1, false, 'd' || n_nationkey from nation union select 'family', 5, false, 'f' || n_regionkey from nation union select 'product', 5, false, p_brand from part union select 'businessObject', 1, false, 'b' || s_suppkey from supplier union select 'boFunction', 1, false, 'g' || s_suppkey from supplier union select 'restResource', 1, false, 'r' || s_nationkey from supplier union select 'tool', 1, false, 't' || p_partkey from part union select 'deeplink', 1, true, 'd' || p_size from part where p_size not in (select n_nationkey from nation) and p_size not in (select s_suppkey from supplier) union select 'agent', case when r_regionkey = 0 then 3 else 2 end, false, 'a' || r_regionkey from region union select 'tool', 1, true, 'T' || r_regionkey from region union select 'workflowNode', 0, false, 'n' || o || '/' || k from st union select 'workflow', case when o in (select o from st where k = 3) or o in (select c_custkey from customer) then 3 else 2 end, false, 'w' || o from ws union select 'workflow', case when true then 2 end, true, 'W' || q from st where k = 3 union select 'workflow', 3, true, 'w' || c_custkey from customer where c_custkey not in (select o from ws) union select 'app', 4, false, 'p' || c_custkey from customer union select 'appPanel', 4, false, 'm' || c_custkey from customer union select 'issue', -1, false, 'u' from ws union select 'issue', -1, false, 'v' from st where q > 3 or not exists (select 1 from st b where b.o = st.o and b.k = st.q) union select 'appContextKey', 8, false, 'k' from ws) select type, layer::int as layer, stub, count(*) as n from n group by all",
