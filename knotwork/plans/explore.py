@@ -451,7 +451,7 @@ ORACLES = {
     "path_parts": "with p as (select page_id, regexp_replace(url, '^[a-z]+://', '') as p from pages) select page_id, split_part(p, '/', -1) as base, regexp_replace(regexp_replace(p, '[^/]*$', ''), '/$', '') as dir from p",
     "mentions": "select distinct doc_id, unnest(regexp_extract_all(text, '[ .,]([A-Z]{4,})[ .,]', 1)) as token from documents",
     # Exact ties go to the larger value; DuckDB's format takes the even digit.
-    "significant_digits": "select o_orderkey, format('{:.3e}', nextafter(o_totalprice / 7, 'infinity'::double))::double as x from orders",
+    "significant_digits": "with v as (select o_orderkey, o_totalprice / 7 as v from orders) select o_orderkey, format('{:.3e}', case when regexp_matches(format('{:.60e}', v), '^[0-9][.][0-9]{3}50*e') then nextafter(v, 'infinity'::double) else v end)::double as x from v",
     "note_path_dedup": "with p as (select p_partkey, left(trim(replace(p_type || ': ' || p_name, ':', '-')), 110) as path from part), k as (select *, row_number() over (partition by lower(path) order by p_partkey) as k from p) select p_partkey, case when k = 1 then path else path || ' (' || k || ')' end as note_path from k",
     "node_tags": f"{_N} select id, 'type/part,family/' || label || case when length(label) > 9 then ',finding/cut-vertex' else '' end || ',layer/specs-vocabulary' as tags from nodes where type = 'part'",
     "note_matter": f"{_N} select id, '---' || chr(10) || 'title: \"' || label || '\"' || chr(10) || 'type: \"' || type || '\"' || chr(10) || 'code: \"' || split_part(id, ':', -1) || '\"' || chr(10) || 'degree: 1' || chr(10) || 'tags: [\"type/' || type || '\"]' || chr(10) || '---' as matter from nodes where type in ('nation', 'region')",
