@@ -34,9 +34,9 @@ class Cuts(durable.Cuts):
         df.write.mode("overwrite").option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def partitioned(self, df: DataFrame, name: str, by: str) -> None:
+    def partitioned(self, df: DataFrame, name: str, by: str, codec: str = "snappy") -> None:
         """Written in one folder for each value of `by`; of a column of few values."""
-        df.write.mode("overwrite").partitionBy(by).parquet(f"{self.root}/{name}")
+        df.write.mode("overwrite").option("compression", codec).partitionBy(by).parquet(f"{self.root}/{name}")
 
     def read(self, like: DataFrame, name: str) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(f"{self.root}/{name}")
