@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from knotwork import schema as S
 from knotwork.durable import Cuts, empty
 from knotwork.functions import text as T
+from knotwork.operators.names import containing as containing
 
 #: Results of a search, rows of a table that are shown, and nodes after which a slice grows no further level.
 MOST_HITS, MOST_ROWS, MOST_SLICE = 60, 1200, 420
@@ -61,11 +62,6 @@ def owner(paths: DataFrame, owners: DataFrame, sep: str = "/") -> DataFrame:
     return rows.join(owners.select("owner").distinct(), "owner").groupBy("path").agg(F.max_by("owner", F.length("owner")).alias("owner"))
 
 
-def containing(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs of texts (key, text) and names (name) that occur in them. The names are a vocabulary, which is broadcast."""
-    return texts.join(F.broadcast(names), F.contains("text", F.col("name"))).select("key", "name")
-
-
 def lab_filter(nodes: DataFrame, q: str = "", layer: int | None = None, kind: str = "", family: str = "", flag: str = "", hay: Sequence[str] = ("id", "label", "code")) -> DataFrame:
     """Rows of a layer, type and family, with a flag (articulation, issues, stub or local), whose text holds all words."""
     test = T.matches(T.haystack(*[F.col(c) for c in hay]), q)

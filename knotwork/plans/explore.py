@@ -172,6 +172,23 @@ def theta_contains(spark: SparkSession, d: str) -> DataFrame:
     return Q.containing(p.select(F.col("p_partkey").alias("key"), F.concat_ws(" ", "p_type", "p_name").alias("text")), p.select(F.substring_index("p_name", " ", 1).alias("name")).distinct())
 
 
+def _phrases(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Whole texts of documents, and the words of benchmark items and pairs of them as names."""
+    w = F.split("text", r"[^A-Za-z]+")
+    near = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda k: F.concat_ws(" ", F.element_at(w, k.cast("int")), F.get(w, k.cast("int"))))
+    names = _t(spark, d, "benchmark").select(F.explode(F.concat(w, near)).alias("name")).where("length(name) > 7")
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"), names
+
+
+def names_in_texts(spark: SparkSession, d: str) -> DataFrame:
+    return Q.containing(*_phrases(spark, d))
+
+
+def names_by_rarest_piece(spark: SparkSession, d: str) -> DataFrame:
+    """The same pairs as where the names are too many to be sent."""
+    return Q.containing(*_phrases(spark, d), most=0)
+
+
 def declared_observed(spark: SparkSession, d: str) -> DataFrame:
     p = _t(spark, d, "part")
     return Q.declared_observed(p.where("p_size < 3"), p.where("p_size > 48"), "p_type")
@@ -405,6 +422,7 @@ _FLOWL = f"with recursive e as ({links.FLOW}), lv as (select min(source) as id,
 _MOD = "case " + " ".join(f"when regexp_matches({{0}}, '{p}') then '{k}/{w}'" for p, k, w in WORDS) + " end"
 _STEPS = "st as (select l_orderkey as o, l_linenumber as k, min(l_partkey) as p, min(l_suppkey) as q from lineitem where l_linenumber < 4 group by all), ws as (select distinct o from st)"
 
+_NAMED = "with w as (select string_split_regex(text, '[^A-Za-z]+') as w from benchmark), n as (select distinct unnest(list_concat(w, list_transform(range(1, greatest(len(w), 2)), lambda k: concat_ws(' ', w[k], w[k + 1])))) as name from w) select doc_id as key, name from documents join (select name from n where length(name) > 7) on contains(text, name)"
 ORACLES = {
     "layer_histogram": f"{_N} select {_LAYER} as layer, count(*) as n from nodes group by 1",
     "dep_degree": f"{_N} select id, count(*) as dep_degree from (select source as id from edges where {_HIDE} union all select target from edges where {_HIDE}) group by id",
@@ -430,6 +448,8 @@ ORACLES = {
     "legend_counts": f"{_N}, k as (select id from nodes where type <> 'orders') select relation, count(*) as total, count(*) filter (source in (select id from k) and target in (select id from k)) as shown from edges group by all",
     "related_nodes": f"{_N} select distinct source as id from edges where target = 'nation:0' and relation in ('in_nation', 'in_region')",
     "top_by_type": f"{_RANKED} select type, row_number() over (partition by type order by degree desc nulls last, id)::int as place, id from rn qualify place <= 3",
+    "names_in_texts": _NAMED,
+    "names_by_rarest_piece": _NAMED,
     "theta_contains": "with w as (select distinct split_part(p_name, ' ', 1) as name from part) select p_partkey as key, name from part join w on contains(p_type || ' ' || p_name, name)",
     "declared_observed": "with a as (select distinct p_type from part where p_size < 3), b as (select distinct p_type from part where p_size > 48) select coalesce(a.p_type, b.p_type) as p_type, a.p_type is not null as declared, b.p_type is not null as observed from a full join b on a.p_type = b.p_type",
     "coverage_ratio": "select n_name, count(s_suppkey) as n_used, count(s_suppkey) > 0 as used_here from nation left join supplier on s_nationkey = n_nationkey group by n_nationkey, n_name",
