@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +41,11 @@ class Cuts:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """The table and its rows, which are counted while they are written."""
+        seen = Observation()
+        return self.table(df.observe(seen, F.count(F.lit(1)).alias("n")), name), seen.get.get("n") or 0
+
     def drop(self, *names: str) -> None:
         for name in names:
             remove(self.spark, f"{self.root}/{name}")

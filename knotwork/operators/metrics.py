@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from knotwork import schema as S
 from knotwork.durable import Cuts, cut, empty
 from knotwork.functions.text import significant
+from knotwork.operators.adjacency import Packed, pack
+from knotwork.operators.reach import blast_radius as blast_radius
 
 DAMPING = 0.85
 #: PageRank has converged when a round moves less than this in L1; rounds at most.
@@ -39,38 +41,30 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.inline(ends)).groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"), F.count("*").alias("degree"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = MOST_ROUNDS, tolerance: float | None = TOLERANCE) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = MOST_ROUNDS, tolerance: float | None = TOLERANCE, packed: Packed | None = None) -> DataFrame:
     """(id, pagerank) once a round moves less than the tolerance in L1, or after the rounds; without a tolerance all rounds are made.
 
-    What nodes without out-edges hold is spread evenly over all. Parallel edges are one edge of that weight. Ids become numbers once; a
-    round is one join and one aggregation, and tells in passing how much is to be spread and how far it moved.
+    What nodes without out-edges hold is spread evenly over all. Parallel edges are one edge of that weight. The edges lie packed and
+    partitioned (or are given so, packed along them); a round shuffles ranks to them and what they pass on, summed before the shuffle, and
+    tells in passing how much is to be spread and how far it moved.
     """
-    cuts = Cuts(nodes.sparkSession)
-    ids = cuts.table(nodes.select("id").distinct(), "ids").withColumn("n", F.monotonically_increasing_id())
-    ids = cuts.table(ids, "numbers")
-    total = ids.count()
-    of = lambda c: ids.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"))
-    links = edges.groupBy("source", "target").agg(F.count("*").alias("w")).join(of("source"), "source").join(of("target"), "target").select(F.col("source_n").alias("s"), F.col("target_n").alias("t"), "w")
-    links = cuts.table(links, "links")
-    out = links.groupBy("s").agg(F.sum("w").alias("out"))
-    shares = cuts.table(links.join(out, "s").select("s", "t", (F.col("w") / F.col("out")).alias("share")), "shares")
-    cuts.drop("links", "ids")
-    start = ids.select("n").join(shares.select(F.col("s").alias("n"), F.lit(True).alias("sends")).distinct(), "n", "left").select("n", F.col("sends").isNull().alias("dangling"), F.lit(1.0 / max(total, 1)).alias("r"))
-    rank, last = cuts.table(start, "rank0"), "rank0"
-    lost = rank.where("dangling").agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0]
+    packed = packed or pack(nodes, edges)
+    cuts, total = Cuts(nodes.sparkSession), max(packed.count, 1)
+    rank, last = packed.vertices.select(F.col("n").alias("s"), "parts", "out", F.lit(1.0 / total).alias("r")), None
+    lost = rank.where("parts = 0").agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0]
     for k in range(1, rounds + 1):
-        sent = shares.join(rank.select(F.col("n").alias("s"), "r"), "s").groupBy("t").agg(F.sum(F.col("r") * F.col("share")).alias("x"))
-        new = rank.select("n", "dangling", F.col("r").alias("old")).join(sent.withColumnRenamed("t", "n"), "n", "left")
-        new = new.select("n", "dangling", "old", ((1 - DAMPING) / total + DAMPING * (F.coalesce("x", F.lit(0.0)) + lost / total)).alias("r"))
+        sent = packed.spread(rank.where("parts > 0").select("s", "parts", (F.col("r") / F.col("out")).alias("x"))).groupBy(F.col("t").alias("s")).agg(F.sum(F.col("x") * F.col("w")).alias("x"))
+        new = rank.withColumnRenamed("r", "old").join(sent, "s", "left")
+        new = new.select("s", "parts", "out", "old", ((1 - DAMPING) / total + DAMPING * (F.coalesce("x", F.lit(0.0)) + lost / total)).alias("r"))
         seen = Observation()
-        watched = new.observe(seen, F.sum(F.when(F.col("dangling"), F.col("r")).otherwise(0.0)).alias("lost"), F.sum(F.abs(F.col("r") - F.col("old"))).alias("moved"))
+        watched = new.observe(seen, F.sum(F.when(F.col("parts") == 0, F.col("r")).otherwise(0.0)).alias("lost"), F.sum(F.abs(F.col("r") - F.col("old"))).alias("moved"))
         rank = cuts.table(watched.drop("old"), f"rank{k}")
-        cuts.drop(last)
+        if last:
+            cuts.drop(last)
         last, lost = f"rank{k}", seen.get["lost"] or 0.0
         if tolerance is not None and (seen.get["moved"] or 0.0) < tolerance:
             break
-    cuts.drop("shares")
-    return rank.join(ids, "n").select("id", F.col("r").alias("pagerank"))
+    return rank.join(packed.vertices.select(F.col("n").alias("s"), "id"), "s").select("id", F.col("r").alias("pagerank"))
 
 
 def below(df: DataFrame, column: str) -> DataFrame:
@@ -144,26 +138,6 @@ def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select("id", F.when(F.col("d") > 1, 2.0 * F.coalesce("t", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).otherwise(0.0).alias("clustering"))
 
 
-def blast_radius(nodes: DataFrame, edges: DataFrame, chunks: int = 1) -> DataFrame:
-    """(id, blast_radius): how many other nodes reach a node along the edges.
-
-    The closure of a chunk of the starting nodes is grown by new pairs only and counted before the next chunk starts, so that its size on
-    disk is bounded by the number of chunks.
-    """
-    step = cut(edges.select("source", "target").where("source <> target").distinct())
-    parts = []
-    for k in range(chunks):
-        cuts = Cuts(step.sparkSession)
-        front = known = cuts.table(step.where(F.pmod(F.xxhash64("source"), F.lit(chunks)) == k))
-        while not empty(front):
-            onward = front.join(step.toDF("target", "next"), "target").select("source", F.col("next").alias("target")).distinct()
-            front = cuts.table(onward.join(known, ["source", "target"], "left_anti"))
-            known = known.unionByName(front)
-        parts.append(cut(known.where("source <> target").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n"))))
-    count = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("n").alias("n"))
-    return nodes.select("id").join(count, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("blast_radius"))
-
-
 def betweenness(nodes: DataFrame, edges: DataFrame, chunks: int = 1) -> DataFrame:
     """(id, betweenness): share of the pairs of other nodes whose shortest undirected paths pass through a node, each pair spread over its paths; 0 below three nodes.
 
