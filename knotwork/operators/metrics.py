@@ -290,7 +290,7 @@ def node_metrics(nodes: DataFrame, edges: DataFrame, include_all: bool = False,
     rank = ranked(pagerank(nodes, dep), "pagerank", "pagerank_rank")
     score = bridge_score(betweenness(nodes, dep, chunks), "betweenness")
     zero = lambda df, *cs: [F.coalesce(c, F.lit(0)).alias(c) for c in cs]
-    parts = [rank, score, communities(nodes, dep), components(nodes, dep), clustering(nodes, dep), blast_radius(nodes, dep, chunks), articulation_points(nodes, dep).withColumn("articulation", F.lit(True)), degrees(full), degrees(dep).select("id", F.col("degree").alias("dep_degree"))]
+    parts = [rank, score, communities(nodes, dep), components(nodes, dep), clustering(nodes, dep), blast_radius(nodes, dep), articulation_points(nodes, dep).withColumn("articulation", F.lit(True)), degrees(full), degrees(dep).select("id", F.col("degree").alias("dep_degree"))]
     out = reduce(lambda a, b: a.join(b, "id", "left"), parts, ids)
     return out.select(
         "id", significant(F.col("pagerank"), 6).alias("pagerank"), "pagerank_rank", significant(F.col("betweenness"), 6).alias("betweenness"), significant(F.col("bridge_score"), 4).alias("bridge_score"), "community", "community_size",

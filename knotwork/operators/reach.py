@@ -79,21 +79,24 @@ def strong_components(edges: DataFrame, cuts: Cuts) -> DataFrame:
     return every.join(every.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1").select("comp"), "comp", "left_semi").select("v", "comp")
 
 
-def levels(edges: DataFrame, nodes: DataFrame, cuts: Cuts) -> tuple[DataFrame, int]:
-    """(v, level) of nodes (v) of an acyclic graph: one more than the largest level of what enters a node, from 0; and how many levels there are."""
+def levels(edges: DataFrame, nodes: DataFrame, cuts: Cuts, name: str = "lev") -> tuple[DataFrame, int, int]:
+    """(v, level) of nodes (v): one more than the largest level of what enters a node, from 0; how many levels there are; and how many nodes have none, as a cycle leads to them."""
     into = edges.groupBy(F.col("t").alias("v")).agg(F.count("*").alias("into"))
-    wait = cuts.table(nodes.join(into, "v", "left").select("v", F.coalesce("into", F.lit(0)).alias("into")), "lev-w0")
-    done, k = [], 0
-    while True:
-        own, size = cuts.counted(wait.where("into = 0").select("v", F.lit(k).alias("level")), f"lev-{k}")
-        if not size:
-            break
-        done.append(own)
-        gone = edges.join(own.select(F.col("v").alias("s")), "s").groupBy(F.col("t").alias("v")).agg(F.count("*").alias("gone"))
-        wait = cuts.table(wait.where("into > 0").join(gone, "v", "left").select("v", (F.col("into") - F.coalesce("gone", F.lit(0))).alias("into")), f"lev-w{k + 1}")
-        cuts.drop(f"lev-w{k}")
+    wait, size = cuts.counted(nodes.join(into, "v", "left").select("v", F.coalesce("into", F.lit(0)).alias("into")), f"{name}0")
+    k = 0
+    # What waits for nothing has just come to its level; what waits for less than nothing had its own before.
+    while size:
+        gone = edges.join(wait.where("into = 0").select(F.col("v").alias("s")), "s").groupBy(F.col("t").alias("v")).agg(F.count("*").alias("gone"))
+        seen = Observation()
+        less = F.when(F.col("into") <= 0, F.lit(-1)).otherwise(F.col("into") - F.coalesce("gone", F.lit(0)))
+        level = F.when(F.col("into") == 0, F.lit(k)).alias("level") if k == 0 else F.when(F.col("into") == 0, F.lit(k)).otherwise(F.col("level")).alias("level")
+        new = wait.join(gone, "v", "left").select("v", level, less.cast("long").alias("into")).observe(seen, F.count_if(F.col("into") == 0).alias("now"), F.count_if(F.col("into") > 0).alias("wait"))
         k += 1
-    return (reduce(DataFrame.unionByName, done) if done else nodes.select("v", F.lit(0).alias("level"))), k
+        wait = cuts.table(new, f"{name}{k}")
+        cuts.drop(f"{name}{k - 1}")
+        if not seen.get.get("now"):
+            return wait.where("level is not null").select("v", "level"), k, seen.get.get("wait") or 0
+    return nodes.select("v", F.lit(0).alias("level")), 0, 0
 
 
 def blast_radius(nodes: DataFrame, edges: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -107,39 +110,43 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, budget: int = BUDGET) -> Da
     spark = nodes.sparkSession
     cuts = Cuts(spark)
     ends = edges.where("source is not null and target is not null and source <> target").select("source", "target").distinct()
-    ids = cuts.table(numbered(ends.select(F.explode(F.array("source", "target")).alias("id")), cuts), "ids")
+    ids, total = cuts.counted(numbered(ends.select(F.explode(F.array("source", "target")).alias("id")), cuts), "ids")
     of = lambda c, to: ids.select(F.col("id").alias(c), F.col("n").alias(to))
-    e = cuts.table(ends.join(of("source", "s"), "source").join(of("target", "t"), "target").select("s", "t"), "e")
-    comp = cuts.table(strong_components(e, cuts), "comp")
-    name = lambda c: comp.select(F.col("v").alias(c), F.col("comp").alias(f"{c}c"))
-    dag = e.join(name("s"), "s", "left").join(name("t"), "t", "left").select(F.coalesce("sc", "s").alias("s"), F.coalesce("tc", "t").alias("t")).where("s <> t").distinct()
-    dag = cuts.table(dag, "dag")
-    member = cuts.table(ids.select(F.col("n").alias("v")).join(comp, "v", "left").select("v", F.coalesce("comp", "v").alias("c")), "member")
-    heads = cuts.table(member.groupBy("c").agg(F.count("*").alias("size")).withColumnRenamed("c", "v"), "heads")
-    level, count = levels(dag, heads.select("v"), cuts)
-    level = cuts.table(level, "levels")
+    dag = cuts.table(ends.join(of("source", "s"), "source").join(of("target", "t"), "target").select("s", "t"), "e")
+    member = ids.select(F.col("n").alias("v"), F.col("n").alias("c"))
+    level, count, bound = levels(dag, ids.select(F.col("n").alias("v")), cuts)
+    if bound:
+        # Only what a cycle leads to can lie on one.
+        late = ids.select(F.col("n").alias("v")).join(level, "v", "left_anti")
+        comp = cuts.table(strong_components(_among(dag, late), cuts), "comp")
+        name = lambda c: comp.select(F.col("v").alias(c), F.col("comp").alias(f"{c}c"))
+        dag = dag.join(name("s"), "s", "left").join(name("t"), "t", "left").select(F.coalesce("sc", "s").alias("s"), F.coalesce("tc", "t").alias("t")).where("s <> t").distinct()
+        dag = cuts.table(dag, "dag")
+        member = cuts.table(ids.select(F.col("n").alias("v")).join(comp, "v", "left").select("v", F.coalesce("comp", "v").alias("c")), "member")
+        level, count, _ = levels(dag, member.select(F.col("c").alias("v")).distinct(), cuts, "again")
     # Edges know the level they lead to, so that what is passed on waits in that level's folder.
     dag = cuts.table(dag.join(level.toDF("s", "sl"), "s").join(level.toDF("t", "tl"), "t"), "dag-levels")
-    total = ids.count()
     lot = max(1, int(budget // (max(1, total) * BYTES)))
-    parts = []
     bit, bucket = F.bitmap_bit_position(F.col("v") + 1), F.bitmap_bucket_number(F.col("v") + 1)
-    own = member.select("c", bucket.alias("bucket"), bit.alias("bit")).join(level.toDF("c", "level"), "c")
-    own = cuts.table(own, "own")
+    own = cuts.table(member.select("c", bucket.alias("bucket"), bit.alias("bit")).join(level.toDF("c", "level"), "c"), "own")
+    united = lambda rows: rows.groupBy("c", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    parts = []
     for low in range(1, -(-total // BITS) + 1, lot):
         chunk = own.where(F.col("bucket").between(low, low + lot - 1))
         passed: list[DataFrame] = []
-        for k in range(count):
-            here = chunk.where(F.col("level") == k).groupBy("c", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-            for p in passed:
-                here = here.unionByName(p.where(F.col("tl") == k).select(F.col("t").alias("c"), "bucket", "bits"))
-            here = cuts.table(here.groupBy("c", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")), f"bits{low}-{k}")
-            parts.append(cuts.table(here.groupBy("c").agg(F.sum(F.bitmap_count("bits")).alias("n")), f"n{low}-{k}"))
-            on = here.join(dag.where(F.col("sl") == k).select(F.col("s").alias("c"), "t", "tl"), "c").groupBy("t", "tl", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+        def known(of_level: int | None, chunk: DataFrame = chunk, passed: list[DataFrame] = passed) -> DataFrame:
+            """What reaches the nodes of a level, or of all: what they are themselves, and what was passed on to them."""
+            at = lambda df, c: df if of_level is None else df.where(F.col(c) == of_level)
+            rows = at(chunk, "level").groupBy("c", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+            return united(reduce(DataFrame.unionByName, [at(p, "tl").select(F.col("t").alias("c"), "bucket", "bits") for p in passed], rows))
+
+        for k in range(count - 1):
+            on = known(k).join(dag.where(F.col("sl") == k).select(F.col("s").alias("c"), "t", "tl"), "c").groupBy("t", "tl", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
             on.write.partitionBy("tl").parquet(f"{cuts.root}/on{low}-{k}")
             passed.append(spark.read.schema("t long, bucket long, bits binary, tl int").parquet(f"{cuts.root}/on{low}-{k}"))
-            cuts.drop(f"bits{low}-{k}")
-        cuts.drop(*(f"on{low}-{k}" for k in range(count)))
+        parts.append(cuts.table(known(None).groupBy("c").agg(F.sum(F.bitmap_count("bits")).alias("n")), f"n{low}"))
+        cuts.drop(*(f"on{low}-{k}" for k in range(count - 1)))
     if not parts:
         return nodes.select("id", F.lit(0).cast("long").alias("blast_radius"))
     reached = reduce(DataFrame.unionByName, parts).groupBy("c").agg(F.sum("n").alias("n"))

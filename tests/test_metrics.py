@@ -44,7 +44,7 @@ def test_no_edges_isolated_nodes_and_self_loops(spark):
     assert set(values(m.betweenness(n, e), "betweenness").values()) == {0.0}
     assert m.articulation_points(n, e).count() == 0
     assert sorted(r.component_size for r in m.components(n, e).collect()) == [1, 1, 1]
-    assert set(values(m.blast_radius(n, e, 2), "blast_radius").values()) == {0}
+    assert set(values(m.blast_radius(n, e), "blast_radius").values()) == {0}
     assert m.communities(n, e).select("community").distinct().count() == 3
 
 

