@@ -26,8 +26,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of the documents that the mix takes words of."""
-    return mixing.mix(spark, docs).where(F.col("taken") > 0)
+    """The documents that the mix takes words of, whole, with size, source_size, target and taken: of a text the whole taken // size times, then its first taken % size words."""
+    return mixing.keep_mixed(spark, docs)
 
 
 STAGES = [("toxicity", clean), ("line_dedup", dedup_lines), ("simhash", dedup_documents), ("decontamination", decontaminated), ("mixing", mixed)]

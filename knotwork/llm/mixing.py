@@ -74,8 +74,8 @@ def sainte_lague(votes: Sequence[float], seats: int, most: Sequence[int] | None
     return [int(x) for x in got]
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = SEED, cuts: Cuts | None = None) -> DataFrame:
-    """doc_id, size, source_size, target and taken for each row of docs.
+def mix(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = SEED, cuts: Cuts | None = None, named: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target and taken for each row of docs; named: with its source.
 
     Blocks of equal token counts go to the sources by their targets, and within a source to its shards by their tokens, both by
     Sainte-Lague. A shard's rows stand in a seeded order; its tokens are one sequence of blocks. A quota first takes the whole
@@ -117,7 +117,36 @@ def mix(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = WEIGHTS
     rest = F.col("quota") - passes * F.col("tokens")
     lo = F.col("begin") + F.col("copy") * F.col("size")
     part = F.greatest(F.lit(0), F.least(lo + F.col("size"), rest) - lo)
-    return one.select("doc_id", "size", "source_size", "target", (passes * F.col("size") + part).cast("long").alias("taken"))
+    if named:
+        one = one.join(F.broadcast(plan.select("source_no", "source")), "source_no")
+    return one.select("doc_id", "size", "source_size", "target", (passes * F.col("size") + part).cast("long").alias("taken"), *(["source"] if named else []))
+
+
+def keep_mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of docs that the mix takes words of, with all their columns, whatever their names, and size, source_size, target and taken (with an underscore more where docs has such a name).
+
+    What is taken of a text is the whole text taken // size times and then its first taken % size words. Rows that agree in id, source and
+    size are interchangeable: their shares go to them in the order of their texts. Null and empty texts, and empty tables, give no rows.
+    """
+    names = {}
+    for c in ("size", "source_size", "target", "taken"):
+        names[c] = next(n for k in range(len(docs.columns) + 1) if (n := c + "_" * k) not in docs.columns)
+    cuts = Cuts(spark)
+    key = [F.col("doc_id").alias("doc_id"), F.col("source").alias("source")]
+    shares = cuts.table(mix(spark, docs, cuts=cuts, named=True).where("taken > 0"), "shares")
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *key, word_count(F.col("text")).alias("size")).where("size > 0")
+    same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in ("doc_id", "source", "size")]
+    # Most rows are alone with their key; only of those that are not is the place among their likes asked for.
+    several = cuts.table(held.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    by = Window.partitionBy("doc_id", "source", "size")
+    out = []
+    for how, place in (("left_anti", lambda order: F.lit(1)), ("left_semi", lambda order: F.row_number().over(by.orderBy(*order)))):
+        a = held.join(several, same(held, several), how).withColumn("k", place([F.col("row")["text"]])).alias("a")
+        b = shares.join(several, same(shares, several), how).withColumn("k", place([F.desc("taken")])).alias("b")
+        on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "source", "size", "k")]
+        out.append(a.join(b, on).select("a.row", *(F.col(f"b.{c}").alias(c) for c in names)))
+    both = out[0].unionByName(out[1])
+    return both.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), *(F.col(c).alias(n) for c, n in names.items()))
 
 
 def _deal(t: pa.Table) -> pa.Table:

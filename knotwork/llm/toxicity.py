@@ -29,8 +29,8 @@ WORD = re.compile(r"[^\W_]+(?:[@$!*'’][^\W_]+)*")
 BEGIN, SEEN, LIFT, ENTRIES = (4, 5, 6, 7), 4, 6.0, 4000
 NEAR = 3
 ROUNDS, DEPTH, RATE = 60, 3, 0.2
-#: Rows of either label that must be set aside for a calibration on rows the trees have not seen.
-LEAST_ASIDE = 20
+#: Parts that the rows of the trees are cut into for the calibration, and the share of the trees' own probability in a score.
+FOLDS, ORDER = 5, 0.02
 FEATURES = 14
 
 
@@ -105,6 +105,14 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     return Lexicon({r.entry: r.w for r in best.orderBy(F.desc(F.col("w") * F.log1p("pos")), "entry").limit(ENTRIES).collect()})
 
 
+def raw(start: float, grown: list, x: np.ndarray) -> np.ndarray:
+    """Log odds of the trees."""
+    z = np.full(len(x), start)
+    for t in grown:
+        z += RATE * trees.value(t, x)
+    return z
+
+
 @dataclass
 class Model:
     lexicon: Lexicon
@@ -113,10 +121,11 @@ class Model:
     knots: tuple[np.ndarray, np.ndarray]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.full(len(x), self.start)
-        for t in self.trees:
-            z += RATE * trees.value(t, x)
-        return np.clip(np.interp(z, *self.knots), 0, 1)
+        """Calibrated scores. Within a step of the calibration, which is flat, a small share of the trees' own probability keeps their order."""
+        if not self.trees:
+            return np.full(len(x), float(self.knots[1][0]))
+        z = raw(self.start, self.trees, x)
+        return np.clip((1 - ORDER) * np.interp(z, *self.knots) + ORDER * trees.sigmoid(z), 0, 1)
 
 
 def _features(lex: Lexicon):
@@ -131,48 +140,11 @@ def _features(lex: Lexicon):
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, cuts: Cuts, most: int = SAMPLE) -> Model:
     """Fitted on at most `most` labelled rows, none with crc32(doc_id) mod 5 = 0.
 
-    The lexicon comes from one half of them, the trees from two thirds of the other and the calibration from the rest, so neither learned
-    entries nor the trees' scores look better than they are. Without both labels every score is the share of label 1 (0.5 with no labels).
+    The lexicon comes from one half of them, trees and calibration from the other, so learned entries look no better than they are. For
+    the calibration each of FOLDS parts of that half is scored by trees grown on the other parts; the trees that are kept are grown on all.
+    Without both labels every score is the share of label 1 (0.5 with no labels).
     """
     sample = cuts.table(labelled(docs, labels, "toxic", crc_mod(F.col("doc_id"), 5) != 0, most), "tox-sample")
-    part = crc_mod(F.concat(F.lit("half"), F.col("doc_id").cast("string")), 6)
-    lex = learn_lexicon(sample.where(part < 3))
-    rows = sample.where(part >= 3).select(F.when(part < 5, F.col("y")).otherwise(F.col("y") + 2).alias("y"), "text")
-    got = rows.mapInArrow(_features(lex), "y double, x array<double>").toArrow().to_pydict()
-    y, x = np.array(got["y"], float), np.array(got["x"], float).reshape(-1, FEATURES)
-    order = np.lexsort((*x.T, y))  # the fit must not hang on the order of arrival
-    x, y = x[order], y[order]
-    aside = y > 1.5
-    y = np.where(aside, y - 2, y)
-    if len(set(y[~aside])) < 2:
-        p = float(y.mean()) if len(y) else 0.5
-        return Model(lex, 0.0, [], (np.array([0.0]), np.array([p])))
-    start, grown = trees.boost(x[~aside], y[~aside], ROUNDS, DEPTH, RATE)
-    z = start + RATE * sum(trees.value(t, x) for t in grown)
-    # Few rows set aside can't carry a calibration; then the trees' own rows have to.
-    fit = aside if min(y[aside].sum(), (1 - y[aside]).sum()) >= LEAST_ASIDE else np.ones(len(y), bool)
-    return Model(lex, start, grown, trees.isotonic(z[fit], y[fit]))
-
-
-def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.full(len(x), self.start)
-        for t in self.trees:
-            z += RATE * trees.value(t, x)
-        return np.clip(np.interp(z, *self.knots), 0, 1)
-
-
-def _features(lex: Lexicon):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = [features(t, lex) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
-
-    return run
-
-
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, cuts: Cuts, most: int = SAMPLE) -> Model:
-    """Fitted on at most `most` labelled rows, none with crc32(doc_id) mod 5 = 0. The lexicon comes from one half of them, trees and calibration from the other, so learned entries look no better than they are. Without both labels every score is the share of label 1 (0.5 with no labels)."""
-    sample = cuts.table(labelled(docs, labels, "toxic", crc_mod(F.col("doc_id"), 5) != 0, most), "tox-sample")
     half = crc_mod(F.concat(F.lit("half"), F.col("doc_id").cast("string")), 2)
     lex = learn_lexicon(sample.where(half == 0))
     rows = sample.where(half == 1).select("y", "text").mapInArrow(_features(lex), "y double, x array<double>").toArrow().to_pydict()
@@ -183,8 +155,22 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, cuts: Cuts, m
         p = float(y.mean()) if len(y) else 0.5
         return Model(lex, 0.0, [], (np.array([0.0]), np.array([p])))
     start, grown = trees.boost(x, y, ROUNDS, DEPTH, RATE)
-    z = start + RATE * sum(trees.value(t, x) for t in grown)
-    return Model(lex, start, grown, trees.isotonic(z, y))
+    return Model(lex, start, grown, trees.isotonic(out_of_fold(x, y), y))
+
+
+def out_of_fold(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Each row's score by trees that have not seen it. Rows of either label are dealt out in turn; where a part's rest has one label only, as with very few rows, the trees of all have to do."""
+    fold = np.empty(len(y), int)
+    for label in (0, 1):
+        own = np.flatnonzero(y == label)
+        fold[own] = np.arange(len(own)) % FOLDS
+    z = np.empty(len(y))
+    for k in range(FOLDS):
+        out = fold == k
+        rest = ~out if len(set(y[~out])) > 1 else np.ones(len(y), bool)
+        start, grown = trees.boost(x[rest], y[rest], ROUNDS, DEPTH, RATE)
+        z[out] = raw(start, grown, x[out])
+    return z
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -206,7 +192,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with all their columns, whatever their names; null and empty texts stay unless the labels say otherwise. Equal texts fare alike."""
+    """The rows of docs that are not predicted toxic, with all their columns, whatever their names; null and empty texts stay unless the labels say otherwise, texts of any length are read whole, equal texts fare alike, an empty table gives no rows."""
     model = train(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), Cuts(spark))
     names, at = docs.columns, docs.columns.index("text")
 
