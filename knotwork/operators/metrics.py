@@ -11,6 +11,9 @@ from knotwork import schema as S
 from knotwork.durable import Cuts, cut, empty
 from knotwork.functions.text import significant
 from knotwork.operators.adjacency import Packed, pack
+from knotwork.operators.blocks import articulation_points as articulation_points
+from knotwork.operators.blocks import betweenness as betweenness
+from knotwork.operators.blocks import found
 from knotwork.operators.reach import blast_radius as blast_radius
 
 DAMPING = 0.85
@@ -138,99 +141,6 @@ def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select("id", F.when(F.col("d") > 1, 2.0 * F.coalesce("t", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).otherwise(0.0).alias("clustering"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, chunks: int = 1) -> DataFrame:
-    """(id, betweenness): share of the pairs of other nodes whose shortest undirected paths pass through a node, each pair spread over its paths; 0 below three nodes.
-
-    Shortest paths from all sources of a chunk grow level by level as rows (source, node, level, paths); then what each node passes on is
-    added up from the farthest level back. The work is in proportion to sources times edges, as it must be; chunks of sources bound what is
-    held at once.
-    """
-    und = cut(both_ways(edges))
-    total = nodes.count()
-    parts = []
-    for k in range(chunks):
-        cuts = Cuts(und.sparkSession)
-        starts = und.select(F.col("a").alias("s")).distinct().where(F.pmod(F.xxhash64("s"), F.lit(chunks)) == k)
-        levels = [cuts.table(starts.select("s", F.col("s").alias("v"), F.lit(1.0).alias("paths")), "level0")]
-        while not empty(levels[-1]):
-            on = levels[-1].join(und, F.col("v") == F.col("a")).groupBy("s", F.col("b").alias("v")).agg(F.sum("paths").alias("paths"))
-            # A node next to a level is in it, in the one before it, or new.
-            old = reduce(DataFrame.unionByName, [x.select("s", "v") for x in levels[-2:]])
-            levels.append(cuts.table(on.join(old, ["s", "v"], "left_anti"), f"level{len(levels)}"))
-        through, passed = None, None
-        for d in range(len(levels) - 2, 0, -1):
-            own = levels[d]
-            if passed is not None:
-                own = own.join(passed, ["s", "v"], "left").select("s", "v", "paths", F.coalesce("dep", F.lit(0.0)).alias("dep"))
-            else:
-                own = own.withColumn("dep", F.lit(0.0))
-            own = cuts.table(own, f"own{d}")
-            through = own.select("v", "dep") if through is None else through.unionByName(own.select("v", "dep"))
-            back = own.select("s", F.col("v").alias("w"), ((1 + F.col("dep")) / F.col("paths")).alias("x")).join(und, F.col("w") == F.col("a")).select("s", F.col("b").alias("v"), "x")
-            passed = back.join(levels[d - 1], ["s", "v"]).groupBy("s", "v").agg(F.sum(F.col("x") * F.col("paths")).alias("dep"))
-        if through is not None:
-            parts.append(cut(through.groupBy("v").agg(F.sum("dep").alias("dep"))))
-    pairs = (total - 1) * (total - 2)
-    if not parts or pairs <= 0:
-        return nodes.select("id", F.lit(0.0).alias("betweenness"))
-    sums = reduce(DataFrame.unionByName, parts).groupBy(F.col("v").alias("id")).agg(F.sum("dep").alias("dep"))
-    # Every pair is met from both of its ends, which makes up for halving and doubling.
-    return nodes.select("id").join(sums, "id", "left").select("id", (F.coalesce("dep", F.lit(0.0)) / pairs).alias("betweenness"))
-
-
-def articulation_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id) of the nodes whose removal parts their component.
-
-    A spanning forest is grown level by level and numbered so that a subtree is a range. Two tree edges are in one block if a link
-    outside the tree ties them (its ends are not above one another), or if something below the lower one reaches beyond the node between
-    them. Blocks are components of that relation; a node in two blocks is an articulation point. Rounds are in proportion to the depth.
-    """
-    cuts = Cuts(nodes.sparkSession)
-    und = cuts.table(both_ways(edges), "und")
-    least = contracted(und.where("a < b"), cuts)
-    tree = [cuts.table(least.where("node = component").select(F.col("node").alias("v"), F.lit(None).cast("string").alias("p")), "tree0")]
-    while not empty(tree[-1]):
-        on = tree[-1].select(F.col("v").alias("a")).join(und, "a").groupBy(F.col("b").alias("v")).agg(F.min("a").alias("p"))
-        known = reduce(DataFrame.unionByName, [x.select("v") for x in tree[-2:]])
-        tree.append(cuts.table(on.join(known, "v", "left_anti"), f"tree{len(tree)}"))
-    depth = len(tree) - 2
-    if depth < 1:
-        return nodes.select("id").limit(0)
-    # Sizes of subtrees from the leaves up, then first numbers from the roots down.
-    sized, below_ = [None] * (depth + 1), None
-    for d in range(depth, -1, -1):
-        own = tree[d].withColumn("size", F.lit(1)) if below_ is None else tree[d].join(below_, "v", "left").select("v", "p", (1 + F.coalesce("n", F.lit(0))).alias("size"))
-        sized[d] = cuts.table(own, f"sized{d}")
-        below_ = sized[d].groupBy(F.col("p").alias("v")).agg(F.sum("size").alias("n"))
-    first = cuts.table(sized[0].select("v", "p", "size", F.lit(0).cast("long").alias("pre"), F.col("v").alias("root")), "pre0")
-    numbered = [first]
-    for d in range(1, depth + 1):
-        before = F.sum("size").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
-        own = sized[d].withColumn("before", F.coalesce(before, F.lit(0))).join(numbered[-1].select(F.col("v").alias("p"), F.col("pre").alias("top"), "root"), "p")
-        numbered.append(cuts.table(own.select("v", "p", "size", (F.col("top") + 1 + F.col("before")).alias("pre"), "root"), f"pre{d}"))
-    every = cuts.table(reduce(DataFrame.unionByName, numbered), "numbered")
-    ends = lambda c: every.select(F.col("v").alias(c), F.col("p").alias(f"p{c}"), F.col("pre").alias(f"pre{c}"), F.col("size").alias(f"size{c}"))
-    other = und.join(ends("a"), "a").join(ends("b"), "b").where("not (pa <=> b) and not (pb <=> a)")
-    other = cuts.table(other, "other")
-    reach = other.groupBy(F.col("a").alias("v")).agg(F.min("preb").alias("lo"), F.max("preb").alias("hi"))
-    lows, up = [None] * (depth + 1), None
-    for d in range(depth, -1, -1):
-        own = numbered[d].join(reach, "v", "left").select("v", "p", "size", "pre", F.least("pre", "lo").alias("lo"), F.greatest("pre", "hi").alias("hi"))
-        if up is not None:
-            own = own.join(up, "v", "left").select("v", "p", "size", "pre", F.least("lo", "l").alias("lo"), F.greatest("hi", "h").alias("hi"))
-        lows[d] = cuts.table(own, f"low{d}")
-        up = lows[d].groupBy(F.col("p").alias("v")).agg(F.min("lo").alias("l"), F.max("hi").alias("h"))
-    low = reduce(DataFrame.unionByName, lows)
-    apart = other.where("prea + sizea <= preb").select("a", "b")
-    # A tree edge is named by its lower node.
-    inner = low.where("p is not null").select(F.col("v").alias("a"), F.col("p").alias("b"), "lo", "hi").join(every.where("p is not null").select(F.col("v").alias("b"), "pre", "size"), "b")
-    tied = apart.unionByName(inner.where("lo < pre or hi >= pre + size").select("a", "b"))
-    block = contracted(tied, cuts, "blocks")
-    named = every.where("p is not null").select(F.col("v").alias("node"), "p").join(block, "node", "left").select("node", "p", F.coalesce("component", "node").alias("block"))
-    both = named.select(F.inline(F.array(F.struct(F.col("node").alias("id"), "block"), F.struct(F.col("p").alias("id"), "block"))))
-    return both.distinct().groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-
-
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """One row, modularity: of labels (id, label) over the undirected simple graph; 0 without edges."""
     und = both_ways(edges).join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
@@ -282,15 +192,16 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return member.join(number, "c").select("id", "community", "community_size")
 
 
-def node_metrics(nodes: DataFrame, edges: DataFrame, include_all: bool = False, chunks: int = 1) -> DataFrame:
+def node_metrics(nodes: DataFrame, edges: DataFrame, include_all: bool = False, chunks: int | None = None) -> DataFrame:
     """Every metric of every node in one table: ranks, scores and counts, over the dependency edges; degrees over all typed edges."""
     ids = nodes.select("id")
     full = edges.where("source <> target").join(ids.toDF("source"), "source", "left_semi").join(ids.toDF("target"), "target", "left_semi")
     dep = cut(dependency(nodes, edges, include_all))
     rank = ranked(pagerank(nodes, dep), "pagerank", "pagerank_rank")
-    score = bridge_score(betweenness(nodes, dep, chunks), "betweenness")
+    parts_of = found(nodes, dep)
+    score = bridge_score(betweenness(nodes, dep, chunks, given=parts_of), "betweenness")
     zero = lambda df, *cs: [F.coalesce(c, F.lit(0)).alias(c) for c in cs]
-    parts = [rank, score, communities(nodes, dep), components(nodes, dep), clustering(nodes, dep), blast_radius(nodes, dep), articulation_points(nodes, dep).withColumn("articulation", F.lit(True)), degrees(full), degrees(dep).select("id", F.col("degree").alias("dep_degree"))]
+    parts = [rank, score, communities(nodes, dep), components(nodes, dep), clustering(nodes, dep), blast_radius(nodes, dep), articulation_points(nodes, dep, parts_of).withColumn("articulation", F.lit(True)), degrees(full), degrees(dep).select("id", F.col("degree").alias("dep_degree"))]
     out = reduce(lambda a, b: a.join(b, "id", "left"), parts, ids)
     return out.select(
         "id", significant(F.col("pagerank"), 6).alias("pagerank"), "pagerank_rank", significant(F.col("betweenness"), 6).alias("betweenness"), significant(F.col("bridge_score"), 4).alias("bridge_score"), "community", "community_size",
