@@ -153,8 +153,9 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, community, community_size): a distributed Louvain, community 0 the largest, ties by least id; isolated nodes are communities.
 
     In a sweep half of the nodes, by hash, may move to the neighbouring community of the largest gain in modularity; ties go to the least
-    community. When two sweeps in a row move none, communities become nodes and the next level begins. The one-at-a-time order of the
-    sequential algorithm is not kept, so that labels can differ from its; modularity is what to compare.
+    community. When two sweeps in a row move none, communities that fell apart are parted into what is connected, which never lowers the
+    modularity, and become nodes, and the next level begins; a level that does not lower the count of communities is discarded and the
+    last. The one-at-a-time order of the sequential algorithm is not kept, so that labels can differ from its; modularity is what to compare.
     """
     cuts = Cuts(nodes.sparkSession)
     links = cuts.table(both_ways(edges).withColumn("w", F.lit(1.0)), "links0")
@@ -174,8 +175,8 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             stay = turn.join(sums, "c").join(near.withColumnRenamed("to", "c"), ["a", "c"], "left").select("a", (F.coalesce("w", F.lit(0.0)) - (F.col("tot") - F.col("d")) * F.col("d") / total).alias("stay"))
             best = offer.where("to <> c").groupBy("a").agg(F.min(F.struct((-F.col("gain")).alias("g"), "to")).alias("best"))
             go = best.join(stay, "a").where(-F.col("best.g") > F.col("stay") + GAIN).select("a", F.col("best.to").alias("new"))
-            go = cuts.table(go, f"go{level}-{sweep}")
-            if empty(go):
+            go, moves = cuts.counted(go, f"go{level}-{sweep}")
+            if not moves:
                 idle += 1
                 if idle > 1:
                     break
@@ -184,6 +185,11 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             comm = cuts.table(comm.join(go, "a", "left").select("a", F.coalesce("new", "c").alias("c"), "d"), f"comm{level}-{sweep}")
         if not moved_any:
             break
+        inner = links.where("a < b").join(comm.select("a", F.col("c").alias("ca")), "a").join(comm.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb").select("a", "b")
+        whole = contracted(inner, cuts, f"whole{level}")
+        comm, before = cuts.counted(comm.join(whole.withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("component", "a").alias("c"), "d"), f"parted{level}")
+        if comm.select("c").distinct().count() == before:
+            break
         member = cuts.table(member.join(comm.select(F.col("a").alias("c"), F.col("c").alias("new")), "c", "left").select("id", F.coalesce("new", "c").alias("c")), f"member{level + 1}")
         name = lambda c, to: comm.select(F.col("a").alias(c), F.col("c").alias(to))  # noqa: B023, E731
         links = cuts.table(links.join(name("a", "x"), "a").join(name("b", "y"), "b").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")), f"links{level + 1}")
@@ -209,7 +215,8 @@ def node_metrics(nodes: DataFrame, edges: DataFrame, include_all: bool = False,
     )
 
 
-def spanned(column: Column) -> Column:
-    """A size from 3.4 to 15.4 by the root of a value's share of the largest."""
-    top = F.max(column).over(Window.partitionBy(F.lit(0)))
-    return 3.4 + 12 * F.sqrt(F.when(top > 0, column / top).otherwise(0.0))
+def spanned(df: DataFrame, column: str, name: str = "size") -> DataFrame:
+    """df with a size from 3.4 to 15.4 by the root of a value's share of the largest, which is one row that is sent to all."""
+    top = F.broadcast(df.agg(F.max(column).alias("_top")))
+    share = F.when(F.col("_top") > 0, F.col(column) / F.col("_top")).otherwise(0.0)
+    return df.join(top).withColumn(name, 3.4 + 12 * F.sqrt(share)).drop("_top")

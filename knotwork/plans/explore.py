@@ -63,7 +63,7 @@ def degree_rank(spark: SparkSession, d: str) -> DataFrame:
 
 def pagerank_rank(spark: SparkSession, d: str) -> DataFrame:
     n, e = page_links(spark, d)
-    return m.ranked(m.pagerank(n, e, 5, None).select("id", F.round("pagerank", 12).alias("pagerank")), "pagerank", "place").select("id", "pagerank", "place")
+    return m.ranked(m.pagerank(n, e).select("id", F.round("pagerank", 9).alias("pagerank")), "pagerank", "place").select("id", "pagerank", "place")
 
 
 def betweenness(spark: SparkSession, d: str) -> DataFrame:
@@ -369,8 +369,8 @@ def level_layout(spark: SparkSession, d: str) -> DataFrame:
 
 
 def node_sizes(spark: SparkSession, d: str) -> DataFrame:
-    deg = m.degrees(links.links(spark, d))
-    return deg.select("id", F.round(m.spanned(F.col("degree")), 9).alias("size"), F.round(layout.hue(F.col("degree")), 6).alias("hue"))
+    deg = m.spanned(m.degrees(links.links(spark, d)), "degree")
+    return deg.select("id", F.round("size", 9).alias("size"), F.round(layout.hue(F.col("degree")), 6).alias("hue"))
 
 
 def _artifacts(spark: SparkSession, d: str) -> DataFrame:
