@@ -12,9 +12,10 @@ from knotwork.functions import text as T
 from knotwork.operators import artifacts, assemble, layout
 from knotwork.operators import graph as g
 from knotwork.operators import metrics as m
+from knotwork.operators.blocks import found
 from knotwork.operators import query as Q
 from knotwork.plans import links
-from knotwork.plans.registry import _RANKS, EDGES, NODES, WITH
+from knotwork.plans.registry import CONVERGING, EDGES, NODES, WITH
 from knotwork.sinks import notes, reports, tables
 from knotwork.sources import files, markdown
 
@@ -128,15 +129,24 @@ def neighbours_grouped(spark: SparkSession, d: str) -> DataFrame:
     return Q.neighbour_counts(edges(spark, d), nodes(spark, d))
 
 
+def measured(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, betweenness, bridge_score, articulation, pagerank) as computed, rounded to 9 digits before anything is ranked."""
+    parts = found(nodes, edges)
+    between = m.betweenness(nodes, edges, given=parts).select("id", F.round("betweenness", 9).alias("betweenness"))
+    cut_ = m.articulation_points(nodes, edges, parts).withColumn("articulation", F.lit(True))
+    rows = m.bridge_score(cut(between), "betweenness").join(cut_, "id", "left").withColumn("articulation", F.coalesce("articulation", F.lit(False)))
+    return cut(rows.join(m.pagerank(nodes, edges).select("id", F.round("pagerank", 9).alias("pagerank")), "id"))
+
+
 def next_hop(spark: SparkSession, d: str) -> DataFrame:
-    _, e = page_links(spark, d)
-    deg = m.bridge_score(m.degrees(e).select("id", "degree"), "degree").withColumns({"articulation": F.col("degree") > 20, "pagerank": F.lit(0.0)})
-    return Q.next_hop(e, deg, ()).select("id", "next", "via", F.round("score", 9).alias("score"))
+    """By betweenness, cut vertices and converged PageRank of the links."""
+    n, e = page_links(spark, d)
+    return Q.next_hop(e, measured(n, e), ()).select("id", "next", "via", F.round("score", 9).alias("score"))
 
 
 def community_pressure(spark: SparkSession, d: str) -> DataFrame:
     n, e = page_links(spark, d)
-    rows = m.components(n, e).select("id", F.col("component").alias("community")).join(m.degrees(e).select("id", F.col("degree").alias("pagerank")), "id")
+    rows = m.components(n, e).select("id", F.col("component").alias("community")).join(m.pagerank(n, e).select("id", F.round("pagerank", 9).alias("pagerank")), "id")
     rows = rows.withColumns({"label": F.col("id"), "type": F.substring_index("id", ":", 1)})
     return Q.community_pressure(rows).select("community", "n", F.round("share", 9).alias("share"), F.array_join("keys", ", ").alias("keys"), F.array_join("kinds", ", ").alias("kinds"))
 
@@ -349,8 +359,10 @@ def degree_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def risk_card(spark: SparkSession, d: str) -> DataFrame:
-    e = links.flow(spark, d)
-    return Q.risk(m.blast_radius(links.ends(e), e).withColumn("bridge_score", F.when(F.col("blast_radius") > 3, 96.4).otherwise(1.0)))
+    """Of turns: what reaches them, where they part a conversation, how much runs through them."""
+    e = cut(links.flow(spark, d))
+    n = links.ends(e)
+    return Q.risk(m.blast_radius(n, e).join(measured(n, e), "id"))
 
 
 def rank_grid_layout(spark: SparkSession, d: str) -> DataFrame:
@@ -422,12 +434,14 @@ _FLOWL = f"with recursive e as ({links.FLOW}), lv as (select min(source) as id,
 _MOD = "case " + " ".join(f"when regexp_matches({{0}}, '{p}') then '{k}/{w}'" for p, k, w in WORDS) + " end"
 _STEPS = "st as (select l_orderkey as o, l_linenumber as k, min(l_partkey) as p, min(l_suppkey) as q from lineitem where l_linenumber < 4 group by all), ws as (select distinct o from st)"
 
+#: Of every node betweenness, the share of others below it, whether it is a cut vertex, and its converged PageRank.
+_MEASURED = f"{_BFS}, lo as (select a as v, min(b) as s from und group by a), ar(v, x) as (select v, s from lo union select ar.v, und.b from ar join und on und.a = ar.x where und.b <> ar.v), ap as (select distinct u.a as id from und u where not exists (select 1 from ar where ar.v = u.a and ar.x = u.b)), edges as (select source, target from e), nodes as (select id from bb){CONVERGING}, me as (select bb.id, percent_rank() over (order by betweenness) as bridge, (ap.id is not null)::int as articulation, pagerank from bb join pr using (id) left join ap on ap.id = bb.id)"
 _NAMED = "with w as (select string_split_regex(text, '[^A-Za-z]+') as w from benchmark), n as (select distinct unnest(list_concat(w, list_transform(range(1, greatest(len(w), 2)), lambda k: concat_ws(' ', w[k], w[k + 1])))) as name from w) select doc_id as key, name from documents join (select name from n where length(name) > 7) on contains(text, name)"
 ORACLES = {
     "layer_histogram": f"{_N} select {_LAYER} as layer, count(*) as n from nodes group by 1",
     "dep_degree": f"{_N} select id, count(*) as dep_degree from (select source as id from edges where {_HIDE} union all select target from edges where {_HIDE}) group by id",
     "degree_rank": f"{WITH} select id, row_number() over (order by degree desc, id) as place from deg",
-    "pagerank_rank": f"with edges as ({links.LINKS}), nodes as (select source as id from edges union select target from edges){_RANKS}, r as (select id, round(r, 12) as pagerank from p5) select id, pagerank, row_number() over (order by pagerank desc, id) as place from r",
+    "pagerank_rank": f"with recursive edges as ({links.LINKS}), nodes as (select source as id from edges union select target from edges){CONVERGING} select id, pagerank, row_number() over (order by pagerank desc, id) as place from pr",
     "betweenness": f"{_BFS} select id, betweenness from bb",
     "bridge_score": f"{_BFS} select id, round(100 * percent_rank() over (order by betweenness), 6) as bridge_score from bb",
     "articulation_points": f"{_L}, lo as (select a as v, min(b) as s from und group by a), r(v, x) as (select v, s from lo union select r.v, und.b from r join und on und.a = r.x where und.b <> r.v) select distinct u.a as id from und u where not exists (select 1 from r where r.v = u.a and r.x = u.b)",
@@ -440,8 +454,8 @@ ORACLES = {
     "lab_filter_sort": f"{_RANKED} select id, label, degree from rn where type = 'part' and layer = 1 and contains(lower(id || '  ' || label), 'ring') and contains(lower(id || '  ' || label), 'part') order by degree desc nulls last, id limit 1200",
     "csv_projection": "select p_partkey || ',' || p_name || ',\"' || replace(p_name || ', \"' || p_brand || '\"', '\"', '\"\"') || '\"' as line from part",
     "neighbours_grouped": f"{_N} select id, heading, count(*) as n from (select source as id, case relation when 'contains' then 'Contains' else relation end as heading from edges union all select target, case relation when 'contains' then 'Part of' else relation || ' (in)' end from edges) group by all",
-    "next_hop": f"{_L}, {_LDEG}, b as (select id, degree, case when degree > 20 then 0.5::double else 0 end + percent_rank() over (order by degree) as score from ld), w as (select source as id, target as nxt, 0 as side from e union all select target, source, 1 from e), v as (select id, nxt, min(side) as side from w group by all) select v.id, nxt as next, case when side = 0 then 'links_to →' else '← links_to' end as via, round(score, 9) as score from v join b on b.id = nxt qualify row_number() over (partition by v.id order by score desc, nxt) = 1",
-    "community_pressure": f"{links._CC}, {_LDEG}, m as (select cc.id, component as community, degree, split_part(cc.id, ':', 1) as type from cc join ld using (id)), top4 as (select community, count(*) as n from m group by all order by n desc, community limit 4), k as (select community, id, row_number() over (partition by community order by degree desc, id) as p from m) select top4.community, n, round(n::double / max(n) over (), 9) as share, (select string_agg(id, ', ' order by p) from k where k.community = top4.community and p <= 3) as keys, (select string_agg(type, ', ' order by type) from (select distinct type from m where m.community = top4.community)) as kinds from top4",
+    "next_hop": f"{_MEASURED}, b as (select id, articulation * 0.5::double + 100 * bridge / 100 + pagerank * 40 as score from me), w as (select source as id, target as nxt, 0 as side from e union all select target, source, 1 from e), v as (select id, nxt, min(side) as side from w group by all) select v.id, nxt as next, case when side = 0 then 'links_to →' else '← links_to' end as via, round(score, 9) as score from v join b on b.id = nxt qualify row_number() over (partition by v.id order by score desc, nxt) = 1",
+    "community_pressure": f"{links._CC}, edges as (select source, target from e), nodes as (select id from cc){CONVERGING}, m as (select cc.id, component as community, pagerank as degree, split_part(cc.id, ':', 1) as type from cc join pr using (id)), top4 as (select community, count(*) as n from m group by all order by n desc, community limit 4), k as (select community, id, row_number() over (partition by community order by degree desc, id) as p from m) select top4.community, n, round(n::double / max(n) over (), 9) as share, (select string_agg(id, ', ' order by p) from k where k.community = top4.community and p <= 3) as keys, (select string_agg(type, ', ' order by type) from (select distinct type from m where m.community = top4.community)) as kinds from top4",
     "browse_groups": f"{_N}, r as (select type as name, id, label from nodes where type <> 'orders' and (contains(lower(label), 's') or contains(split_part(id, ':', -1), 's'))) select name, count(*) over (partition by name) as n, row_number() over (partition by name order by label, id)::int as place, id, label from r qualify place <= 25",
     "filter_domains": f"{_N} select 'type' as facet, type as value, count(*) as n from nodes group by all union all select 'layer', ({_LAYER})::varchar, count(*) from nodes group by all",
     "edge_histogram": f"{_N} select relation, count(*) as n from edges where source = 'nation:0' or target = 'nation:0' group by all",
@@ -479,7 +493,7 @@ ORACLES = {
     "payload_nodes": f"{_N} select id, 'p' as prompt, null::varchar as summary, 'p ' || label as body from nodes where type = 'supplier'",
     "run_report": f"{_N} select 'type' as facet, type as value, count(*) as n from nodes group by all union all select 'relation', relation, count(*) from edges group by all",
     "degree_report": f"{_RANKED} select id, degree from rn where type = 'part' order by coalesce(degree, 0) desc, id limit 20",
-    "risk_card": f"with recursive e as ({links.FLOW}), r as (select source, target from e union select r.source, e.target from r join e on e.source = r.target), b as (select n.id, count(r.source) as x from {links._ENDS} n left join r on r.target = n.id and r.source <> r.target group by n.id) select id, 'If you change this' as head, case when x = 0 then 'Nothing depends on it.' when x = 1 then '1 artifact can reach it.' else x || ' artifacts can reach it.' end as body from b union all select id, 'Connector', 'More paths run through it than through 96% of the nodes.' from b where x > 3",
+    "risk_card": f"{_MEASURED.replace(links.LINKS, links.FLOW)}, rr as (select source, target from e union select rr.source, e.target from rr join e on e.source = rr.target), br as (select n.id, count(rr.source) as x from {links._ENDS} n left join rr on rr.target = n.id and rr.source <> rr.target group by n.id) select id, 'If you change this' as head, case when x = 0 then 'Nothing depends on it.' when x = 1 then '1 artifact can reach it.' else x || ' artifacts can reach it.' end as body from br union all select id, 'Single point of failure', 'Without it its part of the graph falls apart.' from me where articulation = 1 union all select id, 'Connector', 'More paths run through it than through ' || round(100 * bridge)::int || '% of the nodes.' from me where articulation = 0 and 100 * bridge >= 95",
     "rank_grid_layout": f"{_L}, {_LDEG}, k as (select id, row_number() over (order by degree desc, id) - 1 as p from ld), c as (select greatest(1, ceil(sqrt(count(*) * 1.7)))::bigint as cols, count(*) as n from ld) select id, round((p % cols - (cols - 1) / 2.0) * 96, 6)::double as x, round((p // cols - (ceil(n::double / cols) - 1) / 2.0) * 62, 6)::double as y from k cross join c",
     "radial_layout": f"{_L}, {_HOPS.format(name='h', start='page:0', most=3)}, {_LDEG}, m as (select id, min(hop) as hop from h group by id), k as (select m.id, hop, (row_number() over (partition by hop order by degree desc, m.id) - 1)::double / count(*) over (partition by hop) * 2 * pi() as a, case when hop = 0 then 0 else hop::double / greatest(max(hop) over (), 1) * 330 + 70 end as r from m join ld using (id)) select id, round(cos(a) * r, 5) + 0.0::double as x, round(sin(a) * r, 5) + 0.0::double as y from k",
     "level_layout": f"{_FLOWL}, s as (select level, count(*) as n, row_number() over (order by level) - 1 as col, count(*) over () as cols from fp group by level) select id, round((col - (cols - 1) / 2.0) * 210, 6)::double as x, round((place - (n - 1) / 2.0) * 52, 6)::double as y from fp join s using (level)",

@@ -16,11 +16,12 @@ WITH = f"with nodes as ({NODES}), edges as ({EDGES}), ends as (select source as
 _STEP = "p{k} as (select s.id, s.n, {low} / t.c + {d} * (coalesce(x.x, 0) + (select coalesce(sum(r), 0) from p{j} where n is null) / t.c) as r from p{j} s cross join t left join (select target, sum(p.r / p.n) as x from edges join p{j} p on p.id = source group by target) x on x.target = s.id)"
 _RANKS = ", t as (select count(*)::double as c from nodes), p0 as (select n.id, o.n, 1.0::double / t.c as r from nodes n cross join t left join (select source, count(*) as n from edges group by source) o on o.source = n.id), " + ", ".join(_STEP.format(k=k, j=k - 1, low="0.15::double", d="0.85::double") for k in range(1, ROUNDS + 1))
 
-# Every round is kept with its number and how far it moved; p starts from p0 as above.
-_CONVERGED = WITH.replace("with ", "with recursive ", 1) + _RANKS.split(", p1 as")[0] + """, p as (select id, n, r, 0 as k, 1.0::double as l1 from p0 union all
+# Every round is kept with its number and how far it moved; p starts from p0 as above. Needs nodes (id) and edges (source, target) within a recursive list.
+CONVERGING = _RANKS.split(", p1 as")[0] + """, p as (select id, n, r, 0 as k, 1.0::double as l1 from p0 union all
 select id, n, r, k, sum(abs(r - old)) over () as l1 from (select s.id, s.n, s.k + 1 as k, s.r as old, 0.15::double / t.c + 0.85::double * (coalesce(x.x, 0) + (select coalesce(sum(r), 0) from p where n is null) / t.c) as r
-from p s cross join t left join (select target, sum(p.r / p.n) as x from edges join p on p.id = source group by target) x on x.target = s.id where s.l1 >= 1e-9 and s.k < 200))
-select id, round(r, 9) as pagerank from p where k = (select max(k) from p)"""
+from p s cross join t left join (select target, sum(p.r / p.n) as x from edges join p on p.id = source group by target) x on x.target = s.id where s.l1 >= 1e-9 and s.k < 200)),
+pr as (select id, round(r, 9) as pagerank from p where k = (select max(k) from p))"""
+_CONVERGED = WITH.replace("with ", "with recursive ", 1) + CONVERGING + " select * from pr"
 
 
 def node_types(spark: SparkSession, d: str) -> DataFrame:
