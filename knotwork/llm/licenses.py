@@ -1,4 +1,4 @@
-"""License scans by conditional compression: candidate blocks (lines, and runs of lines without their comment marks) are compressed with each template as raw zstandard dictionary, templates rank by the size saved, and winners are confirmed by exact wording differences."""
+"""License scans by conditional compression: candidate blocks (lines, and runs of lines without their comment marks) are compressed with each template as raw zstandard dictionary, licenses rank by the size saved, and the best are confirmed by exact wording differences."""
 
 from __future__ import annotations
 
@@ -20,6 +20,8 @@ PIECE, OVERLAP = 300, 150
 RUN, RUN_OVERLAP = 1200, 600
 #: Least saving; share of the template's words that must occur in order.
 SAVED, WORDING = 0.25, 0.8
+#: Licenses that are looked at in a round, the best by bytes saved; while one of them is confirmed, the next are looked at on the rest of the block.
+LOOKED = 6
 #: Names with what must occur word by word, and the sentences they stand in (fixed values).
 NAMES = {
     "MIT": "MIT License", "Apache-2.0": "Apache License, Version 2.0", "GPL-2.0": "GNU General Public License, version 2", "GPL-3.0": "GNU General Public License, version 3",
@@ -102,19 +104,94 @@ def _saved(text: str, c: zstandard.ZstdCompressor) -> float:
     return (alone - len(c.compress(data))) / max(1, alone)
 
 
-@functools.lru_cache(50_000)
+@functools.cache
+def dictionaries(level: int) -> list[tuple[str, zstandard.ZstdCompressor]]:
+    """(license, compressor with a raw dictionary): one for each notice and text, one for all sentences and short forms of a license together."""
+    said: dict[str, list[str]] = {}
+    for k, n in NAMES.items():
+        said.setdefault(k, []).extend(f.format(n) for f in FORMS)
+    for k, own in SHORT.items():
+        said.setdefault(k, []).extend(f.format(n) for n in own for f in SHORT_FORMS)
+    texts = [(k, " ".join(t)) for k, t in said.items()] + list(NOTICES.items()) + [(k, t) for k, t, _ in TEXTS]
+    made = []
+    for k, t in texts:
+        d = zstandard.ZstdCompressionDict(" ".join(WORD.findall(t.lower())).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=level)
+        made.append((k, zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False)))
+    return made
+
+
+@functools.cache
+def _alone(level: int) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
+
+
+def savings(words: list[str]) -> dict[str, int]:
+    """Bytes that a license's best dictionary saves on words; where they are few, each byte tells, and the highest level is used."""
+    data = " ".join(words).encode("utf-8", "replace")
+    level = 19 if len(data) <= SHORT_BLOCK else 3
+    alone, out = len(_alone(level).compress(data)), {}
+    for k, c in dictionaries(level):
+        out[k] = max(out.get(k, 0), alone - len(c.compress(data)))
+    return out
+
+
 def scan(block: str, run: bool = False) -> tuple[tuple[str, float, float, tuple[str, ...], tuple[str, ...], int, int], ...]:
     """(license, share of size saved, share of wording, words missing, words more within the match, first and last word) of every license of the block, each in its best template; ties to the earlier one.
 
-    Templates that cannot be confirmed, by the words that the block has at all, are not compressed. What is said within the words of another,
-    longer license (the two clauses within three) does not count. In a run of lines the saving is that of the match, which is at most twice as
-    long as the template, and a license is looked for again beyond its match.
+    Licenses rank by the bytes that their dictionaries save. The LOOKED best are looked at for their wording; while that confirms one, what
+    it matched is taken away and those that rank best on the rest come next. What is said within the words of another, longer license (the
+    two clauses within three) does not count. In a run of lines the saving is that of the match, which is at most twice as long as the
+    template, and a license is looked for again beyond its match.
     """
+    return (_long if len(block) > SHORT_BLOCK else _short)(block, run)
+
+
+#: Characters of a block of which many are remembered.
+SHORT_BLOCK = 400
+
+
+@functools.lru_cache(20_000)
+def _short(block: str, run: bool) -> tuple:
+    return _looked(block, run)
+
+
+@functools.lru_cache(1_000)
+def _long(block: str, run: bool) -> tuple:
+    return _looked(block, run)
+
+
+def _looked(block: str, run: bool) -> tuple:
+    words = WORD.findall(block.lower())
+    rest, seen, found = list(words), set(), []
+    while rest:
+        rank = sorted(((-v, k) for k, v in savings(rest).items() if v > 0 and k not in seen))[:LOOKED]
+        if not rank:
+            break
+        seen |= {k for _, k in rank}
+        more = _confirmed(block, run, {k for _, k in rank})
+        if not more:
+            break
+        found += more
+        hit = frozenset().union(*(f[6] for f in found))
+        rest = [w for k, w in enumerate(words) if k not in hit]
+    best: list[tuple] = []
+    for f in sorted(found, key=lambda f: (len(f[6]) if run else 0, f[:3]), reverse=True):
+        if not any((f[6] <= g[6] and (f[3] == g[3] or len(f[6]) < len(g[6]))) or (f[3] == g[3] and (not run or f[6] & g[6])) for g in best):
+            best.append(f)
+    best = [f for f in best if not any(f[3] != g[3] and f[6] < g[6] for g in best)]
+    return tuple((name, saved, share, missing, more, min(hit), max(hit)) for share, saved, _, name, missing, more, hit in best)
+
+
+def _confirmed(block: str, run: bool, licenses: set[str]) -> list[tuple]:
+    """Of the licenses those whose wording the block has: (share, saved, order, license, missing, more, places of the words). A template of which the block lacks too many words at all is not compared in order."""
     low = block.lower()
     words = WORD.findall(low)
     text, counts = f" {' '.join(words)} ", Counter(words)
     found = []
     for n, (name, own, own_counts, must, free, c) in enumerate(templates()):
+        if name not in licenses:
+            continue
         named = all(m in text for m in must)
         held_most = sum(min(v, counts[w]) for w, v in own_counts.items()) / len(own)
         if held_most < WORDING or not (named or (free and held_most >= 0.9)):
@@ -147,12 +224,7 @@ def scan(block: str, run: bool = False) -> tuple[tuple[str, float, float, tuple[
                 break
             for k in hit:
                 left[k] = ""
-    best: list[tuple] = []
-    for f in sorted(found, key=lambda f: (len(f[6]) if run else 0, f[:3]), reverse=True):
-        if not any((f[6] <= g[6] and (f[3] == g[3] or len(f[6]) < len(g[6]))) or (f[3] == g[3] and (not run or f[6] & g[6])) for g in best):
-            best.append(f)
-    best = [f for f in best if not any(f[3] != g[3] and f[6] < g[6] for g in best)]
-    return tuple((name, saved, share, missing, more, min(hit), max(hit)) for share, saved, _, name, missing, more, hit in best)
+    return found
 
 
 def spdx(line: str) -> list[tuple]:
