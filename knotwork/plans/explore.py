@@ -355,7 +355,24 @@ def run_report(spark: SparkSession, d: str) -> DataFrame:
 
 def degree_report(spark: SparkSession, d: str) -> DataFrame:
     n = ranked_nodes(spark, d).withColumns({"articulation": F.lit(False), "type": F.when(F.col("type") == "part", "tool").otherwise(F.col("type"))})
-    return reports.ranked(n, (("x", "degree", 20, S.CONCRETE, False),))["x"].select("id", "degree")
+    return reports.rankings(n, (("x", "degree", 20, S.CONCRETE, False),)).select("id", F.col("value").cast("long").alias("degree"))
+
+
+#: Reports over pages and paths: of all by PageRank and betweenness, of cut vertices, of pages alone.
+PAGE_REPORTS = (("pagerank", "pagerank", 15, None, False), ("pages", "pagerank", 10, ("page",), False), ("betweenness", "betweenness", 15, None, False), ("articulation", "betweenness", 25, None, True))
+
+
+def report_rankings(spark: SparkSession, d: str) -> DataFrame:
+    """All rankings of the links in one pass over their computed metrics."""
+    n, e = page_links(spark, d)
+    rows = measured(n, e).withColumns({"type": F.substring_index("id", ":", 1), "label": F.col("id")})
+    return reports.rankings(rows, PAGE_REPORTS).select("report", "place", "id", "value")
+
+
+def report_text(spark: SparkSession, d: str) -> DataFrame:
+    """A report of parts by size as Markdown."""
+    n = ranked_nodes(spark, d).withColumns({"articulation": F.lit(False), "type": F.when(F.col("type") == "part", "tool").otherwise(F.col("type"))})
+    return reports.markdown(reports.rankings(n, (("x", "degree", 5, S.CONCRETE, False),)), "Report", None, (("x", "degree", 5, S.CONCRETE, False),))
 
 
 def risk_card(spark: SparkSession, d: str) -> DataFrame:
@@ -492,6 +509,8 @@ ORACLES = {
     "flow_diagram": "with t as (select distinct conv_id, turn, role from conversations), k as (select *, 'n' || (row_number() over (partition by conv_id order by lpad(turn::varchar, 6, '0')) - 1) as nm from t), r as (select conv_id, case when role = 'user' then 'route' else 'llm' end as role, string_agg(nm, ',' order by nm) as nms from k group by all), l as (select conv_id, 0 as p, lpad(turn::varchar, 6, '0') as o, '  ' || nm || case when role = 'user' then '{\"' || role || '\"}' else '[\"' || role || '\"]' end as line from k union all select conv_id, 2, role, '  classDef ' || role || ' ' || case role when 'route' then 'fill:#fce8e6,stroke:#ea4335' else 'fill:#e8f0fe,stroke:#4285f4' end || chr(10) || '  class ' || nms || ' ' || role from r) select 'conv:' || conv_id as id, '```mermaid' || chr(10) || 'flowchart TD' || chr(10) || string_agg(line, chr(10) order by p, o) || chr(10) || '```' as diagram from l group by conv_id",
     "payload_nodes": f"{_N} select id, 'p' as prompt, null::varchar as summary, 'p ' || label as body from nodes where type = 'supplier'",
     "run_report": f"{_N} select 'type' as facet, type as value, count(*) as n from nodes group by all union all select 'relation', relation, count(*) from edges group by all",
+    "report_rankings": f"{_MEASURED}, w as (select me.id, me.pagerank, bb.betweenness, articulation, split_part(me.id, ':', 1) as type from me join bb using (id)), u as (" + " union all ".join(f"select * from (select '{name}' as report, row_number() over (order by {c} desc, id)::int as place, id, {c} as value from w where {'true' if t is None else f'type in {t}'.replace(',)', ')')} and {'articulation = 1' if only else 'true'}) where place <= {k}" for name, c, k, t, only in PAGE_REPORTS) + ") select * from u",
+    "report_text": f"{_RANKED}, t as (select id, label, coalesce(degree, 0)::double as v, row_number() over (order by degree desc nulls last, id) as p from rn where type = 'part') select '# Report' || chr(10) || chr(10) || '## x' || chr(10) || chr(10) || '| Node | Type | degree |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || label || ' | tool | ' || v || ' |', chr(10) order by p) || chr(10) as text from t where p <= 5",
     "degree_report": f"{_RANKED} select id, degree from rn where type = 'part' order by coalesce(degree, 0) desc, id limit 20",
     "risk_card": f"{_MEASURED.replace(links.LINKS, links.FLOW)}, rr as (select source, target from e union select rr.source, e.target from rr join e on e.source = rr.target), br as (select n.id, count(rr.source) as x from {links._ENDS} n left join rr on rr.target = n.id and rr.source <> rr.target group by n.id) select id, 'If you change this' as head, case when x = 0 then 'Nothing depends on it.' when x = 1 then '1 artifact can reach it.' else x || ' artifacts can reach it.' end as body from br union all select id, 'Single point of failure', 'Without it its part of the graph falls apart.' from me where articulation = 1 union all select id, 'Connector', 'More paths run through it than through ' || round(100 * bridge)::int || '% of the nodes.' from me where articulation = 0 and 100 * bridge >= 95",
     "rank_grid_layout": f"{_L}, {_LDEG}, k as (select id, row_number() over (order by degree desc, id) - 1 as p from ld), c as (select greatest(1, ceil(sqrt(count(*) * 1.7)))::bigint as cols, count(*) as n from ld) select id, round((p % cols - (cols - 1) / 2.0) * 96, 6)::double as x, round((p // cols - (ceil(n::double / cols) - 1) / 2.0) * 62, 6)::double as y from k cross join c",

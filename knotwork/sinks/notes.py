@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from knotwork import schema as S
 from knotwork.functions import text as T
 from knotwork.operators import query as Q
+from knotwork.sinks.trees import write_tree
 
 #: Workflow nodes that only hold a flow together get no note.
 STRUCTURAL = ("START", "END", "ADD")
@@ -179,6 +180,10 @@ def notes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.select("id", F.concat("note_path", F.lit(".md")).alias("path"), content.alias("content"))
 
 
+#: The folder of a note program's own settings, which stays (fixed value).
+SETTINGS = ".obsidian"
+
+
 def write(rows: DataFrame, root: str) -> None:
-    """The notes as a table below root, replaced whole; settings beside it stay."""
-    rows.write.mode("overwrite").parquet(f"{root}/notes")
+    """The notes as files below root, replaced whole; the settings beside them stay."""
+    write_tree(rows.select("path", "content"), root, keep=(SETTINGS,))

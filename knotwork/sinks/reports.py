@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork import schema as S
+from knotwork.functions import text as T
 from knotwork.operators import query as Q
-from knotwork.sinks.tables import markdown_table
 
 #: (report, order, rows, types or None, only cut vertices)
 RANKED = (
@@ -18,23 +20,35 @@ RANKED = (
 HUBS = (("hub_pagerank", "pagerank", 20, (*S.CONCRETE, "rule"), False), ("hub_betweenness", "betweenness", 20, None, False), ("hub_articulation", "betweenness", 30, None, True), ("hub_blast", "blast_radius", 20, (*S.CONCRETE, "rule"), False), ("hub_degree", "degree", 25, None, False))
 
 
-def ranked(nodes: DataFrame, reports: tuple = RANKED) -> dict[str, DataFrame]:
-    """The ranked tables of nodes with metrics."""
-    out = {}
-    for name, column, most, types, only_cuts in reports:
-        test = F.lit(True) if types is None else F.col("type").isin(*types)
-        out[name] = Q.top(nodes, column, most, test & F.col("articulation") if only_cuts else test)
-    return out
+def rankings(nodes: DataFrame, reports: tuple = RANKED) -> DataFrame:
+    """(report, place, id, label, type, value): all ranked tables in one pass over nodes with metrics, ties by id, missing values last.
+
+    Every node takes part in the reports that its type and role admit it to. A task keeps the best of each report before anything is
+    shuffled, as many as the longest report has, so a report gathers that many rows of each task.
+    """
+    row = lambda name, column, types, only: F.when((F.lit(True) if types is None else F.col("type").isin(*types)) & (F.coalesce("articulation", F.lit(False)) if only else F.lit(True)), F.struct(F.lit(name).alias("report"), F.col(column).cast("double").alias("value")))
+    every = F.filter(F.array(*(row(name, column, types, only) for name, column, _, types, only in reports)), lambda r: r.isNotNull())
+    rows = nodes.select("id", "label", "type", F.inline(every))
+    place = F.row_number().over(Window.partitionBy("report").orderBy(F.desc_nulls_last("value"), "id"))
+    best = rows.withColumn("place", place).where(F.col("place") <= max(r[2] for r in reports))
+    most = S.lookup(F.col("report"), {r[0]: r[2] for r in reports}, 0)
+    return best.where(F.col("place") <= most).select("report", "place", "id", "label", "type", "value")
+
+
+def markdown(rows: DataFrame, title: str, names: dict[str, str] | None = None, reports: tuple = RANKED) -> DataFrame:
+    """(text): rankings as one Markdown text, a table for each report in the order of reports, with their headings."""
+    column = {r[0]: r[1] for r in reports}
+    cells = F.concat_ws(" | ", F.coalesce("label", "id"), F.coalesce("type", F.lit("—")), F.coalesce(T.short_number(F.col("value")), F.lit("—")))
+    line = F.concat(F.lit("| "), cells, F.lit(" |"))
+    tables = rows.groupBy("report").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    head = F.concat(F.lit("## "), S.lookup(F.col("report"), names or {r[0]: r[0].replace("_", " ") for r in reports}), F.lit("\n\n| Node | Type | "), S.lookup(F.col("report"), column), F.lit(" |\n| --- | --- | --- |\n"), "lines")
+    at = S.lookup(F.col("report"), {r[0]: k for k, r in enumerate(reports)}, 0)
+    return tables.select(F.struct(at.alias("at"), head.alias("text")).alias("t")).agg(F.concat(F.lit(f"# {title}\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda x: x["text"]), "\n\n"), F.lit("\n")).alias("text"))
 
 
 def metrics_report(nodes: DataFrame) -> str:
     """All ranked tables as one text; each holds few rows."""
-    parts = []
-    for name, df in ranked(nodes).items():
-        column = next(r[1] for r in RANKED if r[0] == name)
-        table = markdown_table(df, [("Node", "label"), ("Type", "type"), (column, column)], [F.coalesce(column, F.lit(0)).cast("double") * -1, F.col("id")]).first()["text"]
-        parts.append(f"## {name.replace('_', ' ')}\n\n{table}")
-    return "# Graph metrics\n\n" + "\n\n".join(parts) + "\n"
+    return markdown(rankings(nodes), "Graph metrics").first()["text"]
 
 
 def rule_owners(nodes: DataFrame, most: int = 30) -> DataFrame:
@@ -95,3 +109,18 @@ def maps(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
         "commands": commands, "taxonomy": taxonomy, "stack": stack, "rule_owners": rule_owners(nodes), "markers": Q.markers(nodes.where("type = 'rule'")), "prohibitions": prohibitions(nodes, edges),
         "data_flow": data_flow(nodes, edges), "findings": findings(nodes, edges), "node_types": node_type_report(nodes),
     }
+
+
+def map_notes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(path, content) of a note for each map, lists by label and tables as lines, and of the home note that leads to them. A map gathers its own lines, as a file does."""
+    parts = []
+    for name, df in maps(nodes, edges).items():
+        line = F.concat(F.lit("- "), F.concat_ws(" · ", *(F.coalesce(F.col(c).cast("string"), F.lit("—")) for c in df.columns)))
+        parts.append(df.select(F.lit(name).alias("map"), line.alias("line")))
+    ranks = rankings(nodes, HUBS).select(F.lit("hubs").alias("map"), F.concat(F.lit("- "), F.concat_ws(" · ", "report", F.lpad(F.col("place").cast("string"), 2, "0"), F.coalesce("label", "id"), T.short_number(F.col("value")))).alias("line"))
+    by = reduce(DataFrame.unionByName, parts, ranks).groupBy("map").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    by = by.select("map", F.size("lines").alias("n"), F.concat(F.lit("# "), F.replace("map", F.lit("_"), F.lit(" ")), F.lit("\n\n"), F.array_join("lines", "\n"), F.lit("\n")).alias("content"))
+    notes = by.select(F.concat(F.lit("maps/"), "map", F.lit(".md")).alias("path"), "content")
+    item = F.concat(F.lit("- [["), F.lit("maps/"), "map", F.lit("]] ("), F.col("n").cast("string"), F.lit(")"))
+    home = by.agg(F.concat(F.lit("# Home\n\n"), F.array_join(F.array_sort(F.collect_list(item)), "\n"), F.lit("\n")).alias("content")).select(F.lit("Home.md").alias("path"), "content")
+    return notes.unionByName(home)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions import text as T
+from knotwork.sinks.trees import add_files, write_tree
 
 #: Columns of the table of nodes and of its export.
 LAB = ("label", "studioSection", "layerName", "type", "family", "product", "community", "pagerank_rank", "pagerank", "bridge_score", "blast_radius", "degree", "clustering")
@@ -80,9 +81,17 @@ def write_csv(rows: DataFrame, path: str, columns: Sequence[str] = (*LAB, "artic
     flat.write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", '"').csv(path)
 
 
-def write_ingested(artifacts: DataFrame, root: str) -> None:
-    """Artifacts that sources.files.ingested recognised, below a folder for each kind, and a manifest of what went where and why the rest did not."""
-    artifacts.where("kind is not null").select("kind", "target", F.coalesce("content", F.lit("")).alias("content")).write.mode("overwrite").partitionBy("kind").parquet(f"{root}/src")
+def write_ingested(artifacts: DataFrame, root: str, clean: bool = True) -> None:
+    """Artifacts that sources.files.ingested recognised, each as a file at its target below root, and a manifest of what went where and why the rest did not.
+
+    Of artifacts with one target the first path counts. clean: whatever was below root goes; otherwise what is new is added to what is there.
+    """
+    known = artifacts.where("kind is not null").groupBy("target").agg(F.min_by(F.coalesce("content", F.lit("")), "path").alias("content"))
+    files = known.select(F.col("target").alias("path"), "content")
+    if clean:
+        write_tree(files, f"{root}/src")
+    else:
+        add_files(files, f"{root}/src")
     artifacts.select("path", "kind", "code", "target", "skipped").write.mode("overwrite").json(f"{root}/manifest")
 
 
@@ -91,6 +100,13 @@ def tallies(artifacts: DataFrame) -> DataFrame:
     return artifacts.groupBy(F.coalesce(F.concat(F.lit("skipped: "), "skipped"), "kind").alias("outcome")).agg(F.count("*").alias("n"))
 
 
+def about(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: how many nodes and edges there are, and when this was built, in UTC."""
+    n = nodes.agg(F.count(F.lit(1)).alias("nodes"))
+    built = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return n.join(edges.agg(F.count(F.lit(1)).alias("edges"))).withColumn("builtAt", built)
+
+
 def run_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(facet, value, n): nodes by type, layer, corpus role and section, edges by relation, and how many nodes are stubs; the most first within a facet."""
     facets = [(nodes, c, c) for c in ("type", "layerName", "corpusRole", "studioSection") if c in nodes.columns] + [(edges, "relation", "relation")]

@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +21,16 @@ FILE = "path string, origin string, name string, ext string, content string"
 
 
 def scan(spark: SparkSession, roots: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """FILE rows of every file under the roots (folder, origin, prefix of the path); the path is relative to its root."""
+    """FILE rows of every file under the roots (folder, origin, prefix of the path); the path is relative to its root. A root that is not there has no files."""
     parts = []
     for folder, origin, prefix in roots:
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("content").cast("string").alias("content"))
+        try:
+            raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            raw = spark.createDataFrame([], "path string, content binary")
+        raw = raw.select("path", F.col("content").cast("string").alias("content"))
         inner = F.regexp_extract("path", "^(?:[a-z0-9+.-]+:)?/*" + _quoted(folder) + "/*(.*)$", 1)
         rows = raw.select(F.concat(F.lit(prefix), inner).alias("path"), F.lit(origin).alias("origin"), "content")
         parts.append(rows.where(~F.exists(F.split("path", "/"), lambda p: p.isin(*SKIPPED))))
