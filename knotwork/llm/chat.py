@@ -143,6 +143,7 @@ def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row for each conversation, read back from the ids and masks. Turns stand by number, nulls first, ties by role and text; rows without a conv_id are one conversation.
+    Null roles and texts are empty, texts of any length are encoded whole, repeated rows are turns of their own, an empty table gives no rows.
 
     Encoding is row by row; turns are packed before the shuffle, so that a conversation with very many of them reaches its digest, which is
     sequential by nature, as few rows, and that task holds SPAN turn numbers at a time.
