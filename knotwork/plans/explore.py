@@ -12,6 +12,7 @@ from knotwork.functions import text as T
 from knotwork.operators import artifacts, assemble, index, layout
 from knotwork.operators import graph as g
 from knotwork.operators import metrics as m
+from knotwork.operators import walks as W
 from knotwork.operators.blocks import found
 from knotwork.operators import query as Q
 from knotwork.plans import links
@@ -119,6 +120,17 @@ def search_indexed(spark: SparkSession, d: str) -> DataFrame:
     return index.search(spark, at, "customer 00").select("id", "score")
 
 
+def relation_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Cards of nations and suppliers by relation paths over the order graph."""
+    home = W.rel("in_nation")
+    kinds = {
+        "nation": (("customers", ~home / W.only("customer")), ("suppliers", ~home / W.only("supplier")), ("region", W.rel("in_region"))),
+        "supplier": (("parts", ~W.rel("supplied_by")), ("places", home / W.Times(W.rel("in_region"), 0, 1))),
+    }
+    n, e = g.commerce(spark, d)
+    return W.cards(cut(n), cut(e), kinds=kinds)
+
+
 def resolve_entity(spark: SparkSession, d: str) -> DataFrame:
     return Q.resolve(nodes(spark, d), "small").select("id", "label", "tier")
 
@@ -474,6 +486,7 @@ ORACLES = {
     "impact_by_type": f"{_N}, l1 as (select distinct source as id from edges where target = 'nation:0'), l2 as (select distinct source as id from edges join l1 on target = l1.id), h as (select id, min(hop)::int as hop from (select id, 1 as hop from l1 union all select id, 2 from l2) group by id) select type, id, hop, count(*) over (partition by type) as n from h join nodes using (id)",
     "visible_slice": f"{_N}, w as (select source as a, target as b from edges where {_HIDE} union select target, source from edges where {_HIDE}), h0 as (select 'part:1' as id, 0 as hop), h1 as (select distinct b as id, 1 as hop from w where a = 'part:1'), s1 as (select * from h0 union all select * from h1), h2 as (select distinct b as id, 2 as hop from w join h1 on a = id where b not in (select id from s1) and (select count(*) from s1) <= 420), s2 as (select * from s1 union all select * from h2), h3 as (select distinct b as id, 3 as hop from w join h2 on a = id where b not in (select id from s2) and (select count(*) from s2) <= 420) select * from s2 union all select * from h3",
     "search_scored": f"{_N}, h as (select *, lower(label) as l, lower(id || '  ' || label || '  ' || split_part(id, ':', -1)) as hay, lower(split_part(id, ':', -1)) as c from nodes) select id, (case when l = 'customer' then 100 when starts_with(l, 'customer') then 40 when contains(l, 'customer') then 18 else 0 end + case when contains(c, 'customer') then 12 else 0 end + 1 + case when l = '00' then 100 when starts_with(l, '00') then 40 when contains(l, '00') then 18 else 0 end + case when contains(c, '00') then 12 else 0 end + 1)::int as score from h where contains(hay, 'customer') and contains(hay, '00') order by score desc, id limit 60",
+    "relation_cards": f"{WITH}, h as (select source, target from edges where relation = 'in_nation'), c as (select target as id, 'customers' as fact, source as other from h where starts_with(source, 'customer:') union all select target, 'suppliers', source from h where starts_with(source, 'supplier:') union all select source, 'region', target from edges where relation = 'in_region' union all select target, 'parts', source from edges where relation = 'supplied_by' union all select source, 'places', target from h where starts_with(source, 'supplier:') union select h.source, 'places', e.target from h join edges e on e.source = h.target and e.relation = 'in_region' where starts_with(h.source, 'supplier:')) select c.id, fact, other, label from c left join nodes on nodes.id = other",
     "search_indexed": f"{_N}, h as (select *, lower(label) as l, lower(id || '  ' || label || '  ' || split_part(id, ':', -1)) as hay, lower(split_part(id, ':', -1)) as c from nodes) select id, (case when l = 'customer' then 100 when starts_with(l, 'customer') then 40 when contains(l, 'customer') then 18 else 0 end + case when contains(c, 'customer') then 12 else 0 end + 1 + case when l = '00' then 100 when starts_with(l, '00') then 40 when contains(l, '00') then 18 else 0 end + case when contains(c, '00') then 12 else 0 end + 1)::int as score from h where contains(hay, 'customer') and contains(hay, '00') order by score desc, id limit 60",
     "resolve_entity": f"{_N}, h as (select id, label, case when lower(label) = 'small' then 0 when starts_with(lower(label), 'small') then 1 when contains(lower(label), 'small') then 2 end as tier from nodes) select id, label, tier::int as tier from h where tier is not null order by tier, case when tier > 0 then length(label) else 0 end, id limit 1",
     "lab_filter_sort": f"{_RANKED} select id, label, degree from rn where type = 'part' and layer = 1 and contains(lower(id || '  ' || label), 'ring') and contains(lower(id || '  ' || label), 'part') order by degree desc nulls last, id limit 1200",
