@@ -18,7 +18,8 @@ SHAPES = {
     "WORKFLOW": ('[["', '"]]'), "TOOL": ('[/"', '"\\]'), "PARALLEL": ('[["', '"]]'), "LOOP": ('[["', '"]]'), "WHILE": ('[["', '"]]'),
 }
 ROLES = {"LLM": "llm", "BO_FUNCTION": "data", "DOCUMENT_PROCESSOR": "data", "CODE": "code", "SWITCH": "route", "CONDITION": "route", "WORKFLOW": "sub", "TOOL": "sub"}
-STYLES = {"llm": "fill:#dff3f5,stroke:#1b7f8c", "data": "fill:#eef5d6,stroke:#6b8e23", "code": "fill:#f6ead9,stroke:#b0702a", "route": "fill:#f7dfe7,stroke:#b03060", "sub": "fill:#e6e4f4,stroke:#5a4fa2"}
+#: Colours by role (fixed values: the SQL of flow_diagram has them too).
+STYLES = {"llm": "fill:#e8f0fe,stroke:#4285f4", "data": "fill:#e6f4ea,stroke:#34a853", "code": "fill:#fef7e0,stroke:#f9ab00", "route": "fill:#fce8e6,stroke:#ea4335", "sub": "fill:#f3e8fd,stroke:#a142f4"}
 MATTER = (
     "title", "type", "code", "nodeType", "workflow", "family", "product", "status", "architecture", "pagePattern", "operationType", "toolTypeName", "verb", "group", "nodeCount", "agentCount", "aiAppsCompatible", "seeded",
     "source_file", "layerName", "corpusRole", "modality", "marker", "promptRole", "owner", "ruleCount", "specified", "instanceCount", "stackRole", "appExposed", "pagerank", "pagerank_rank", "bridge_score", "blast_radius", "community",

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from knotwork import __main__ as command
-from knotwork.sinks import reports, tables, trees
+from knotwork.sinks import notes, reports, tables, trees
 from knotwork.sources import files
 
 TREE = "path string, content string"
@@ -96,3 +96,11 @@ def test_the_command_from_sources_to_notes(spark, tmp_path, monkeypatch):
     assert len(notes) >= nodes.where("type = 'tool'").count() + 2 and "## pagerank\n" in tree(f"{out}/reports")["metrics.md"]
     with pytest.raises(SystemExit):
         command.main(["graph", "--repo", f"{tmp_path}/none", "--out", str(out)])
+
+
+def test_diagram_colours_are_the_fixed_ones(spark):
+    kinds = {"LLM": "llm fill:#e8f0fe,stroke:#4285f4", "TOOL": "sub fill:#f3e8fd,stroke:#a142f4", "CODE": "code fill:#fef7e0,stroke:#f9ab00", "SWITCH": "route fill:#fce8e6,stroke:#ea4335", "BO_FUNCTION": "data fill:#e6f4ea,stroke:#34a853"}
+    n = spark.createDataFrame([(f"w/{k}", "workflowNode", k, k) for k in kinds], "id string, type string, nodeType string, label string")
+    held = spark.createDataFrame([("w", f"w/{k}", "contains", None) for k in kinds], "source string, target string, relation string, context string")
+    drawn = notes.flow_diagrams(n, held).first().diagram.split("\n")
+    assert sorted(x for x in drawn if "classDef" in x) == sorted(f"  classDef {x}" for x in kinds.values())
