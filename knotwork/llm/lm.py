@@ -27,8 +27,8 @@ WIDTH, HEADS = 32, 16
 #: Classes that are not words' own: the end of a text, and words without a code.
 END, RARE = 0, 1
 FIRST = 2 + HEADS
-#: Kinds of documents that tell words apart, the words they are known by, and the documents they are found on at most.
-KINDS, KNOWN_BY, SAMPLE = 8, 256, 4096
+#: Kinds of documents that tell words apart (halvings of all that make them), the words they are known by, and rounds over all documents that find them at most; they end when one lessens the squared distances by a smaller share than STILL.
+HALVINGS, KNOWN_BY, LLOYD, STILL = 3, 256, 20, 1e-4
 #: Words that are features themselves; of others the class is.
 FEATURES = 8192
 BEGIN = FEATURES + WIDTH
@@ -185,7 +185,7 @@ def _summed(kind: str):
                 else:
                     if total is not None:
                         yield row()
-                    now, total = block, x.astype(np.float64 if kind == "f4" else np.int64)
+                    now, total = block, x.astype(np.int64 if kind == "i4" else np.float64)
         if total is not None:
             yield row()
 
@@ -207,20 +207,66 @@ def _vectors(ids: pa.ListArray) -> np.ndarray:
     return np.sqrt(x / np.maximum(1, x.sum(1, keepdims=True)))
 
 
-def _sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _known(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(_vectors(b.column(1))), pa.list_(pa.float64()))], ["row", "x"])
-
-
-def kinds(x: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Centres of KINDS groups of the rows of x."""
-    rng, centres = np.random.default_rng(seed), np.zeros((0, x.shape[1]))
-    for _ in range(min(KINDS, len(np.unique(x, axis=0)))):
-        far = np.min(((x[:, None] - centres[None]) ** 2).sum(2), axis=1) if len(centres) else np.ones(len(x))
-        centres = np.r_[centres, x[rng.choice(len(x), p=far / far.sum())][None]]
-    for _ in range(20):
-        near = (((centres**2).sum(1)[None]) - 2 * x @ centres.T).argmin(1)
-        centres = np.stack([x[near == k].mean(0) if (near == k).any() else c for k, c in enumerate(centres)])
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in _vectors(b.column(0)).astype(np.float32)], pa.binary())], ["x"])
+
+
+def _read(b: pa.RecordBatch) -> np.ndarray:
+    x = b.column(0)  # rows of one length after one another
+    if not len(x):
+        return np.zeros((0, KNOWN_BY), np.float32)
+    return np.frombuffer(x.buffers()[2], np.float32).reshape(-1, KNOWN_BY)[x.offset : x.offset + len(x)]
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(1)[None].astype(x.dtype) - x @ (2 * centres.T).astype(x.dtype)).argmin(1)
+
+
+def _members(centres: np.ndarray, products: bool):
+    """Numbers and sums of the vectors that are nearest to each centre, and sums of their products, or of their squared lengths."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(centres), KNOWN_BY + 1 if products else 1, KNOWN_BY + 1 if products else KNOWN_BY + 2))
+        for b in batches:
+            x = _read(b)
+            near = _nearest(x, centres)
+            for k in np.unique(near):
+                own = x[near == k]
+                if products:
+                    own = np.c_[np.ones(len(own), np.float32), own]
+                    total[k] += own.T @ own
+                else:
+                    total[k, 0] += np.r_[len(own), own.sum(0, np.float64), np.vdot(own, own)]
+        yield from _tallies({k * total.shape[1] + j: x for k in np.flatnonzero(total[:, 0, 0]).tolist() for j, x in enumerate(total[k])})
+
+    return run
+
+
+def _split(sums: np.ndarray) -> list[np.ndarray]:
+    """Two centres on either side of a group's mean, along the direction in which it is widest."""
+    mean = sums[0, 1:] / sums[0, 0]
+    wide, along = np.linalg.eigh(sums[1:, 1:] / sums[0, 0] - np.outer(mean, mean))
+    off = np.sqrt(max(0.0, wide[-1])) * along[:, -1] * (-1 if along[np.abs(along[:, -1]).argmax(), -1] < 0 else 1)
+    return [mean - off, mean + off]
+
+
+def kinds(vectors: DataFrame) -> np.ndarray:
+    """Centres of groups of all rows of vectors: k-means from groups that are split HALVINGS times. The driver holds sums only."""
+    centres, before = np.zeros((1, KNOWN_BY)), np.inf
+    for _ in range(HALVINGS):
+        found = gathered(vectors.mapInArrow(_members(centres, True), TALLY), "f8")
+        if not found:
+            return centres
+        centres = np.stack([c for x in np.stack([found[k] for k in sorted(found)]).reshape(-1, KNOWN_BY + 1, KNOWN_BY + 1) for c in _split(x)])
+    for _ in range(LLOYD):
+        found = gathered(vectors.mapInArrow(_members(centres, False), TALLY), "f8")
+        sums = np.stack([found[k] for k in sorted(found)])
+        centres = sums[:, 1:-1] / sums[:, :1]
+        apart = sums[:, -1].sum() - (sums[:, 0] * (centres**2).sum(1)).sum()
+        if apart >= before * (1 - STILL):
+            break
+        before = apart
     return centres
 
 
@@ -233,7 +279,7 @@ def _kind_counts(centres: np.ndarray, codes: int):
         total = np.zeros(-(-codes // CODES) * CODES * len(centres), np.int32)
         for b in batches:
             ids = b.column(0)
-            near = ((centres**2).sum(1)[None] - 2 * _vectors(ids) @ centres.T).argmin(1)
+            near = _nearest(_vectors(ids), centres)
             np.add.at(total, ids.flatten().to_numpy().astype(np.int64) * len(centres) + np.repeat(near, np.diff(ids.offsets.to_numpy())), np.int32(1))
         yield from _tallies({k: x for k, x in enumerate(total.reshape(-1, CODES * len(centres))) if x.any()})
 
@@ -356,13 +402,12 @@ def _gradients(model):
 
 
 def train(coded: DataFrame, cuts: Cuts, v: Vocabulary) -> Model:
-    """coded: rows with their part, null where they are not to be learned from. Every such row counts for the classes and in one round of gradients."""
+    """coded: rows with their part, null where they are not to be learned from. Every such row counts for the kinds, the classes and in one round of gradients."""
     spark = coded.sparkSession
     learn = coded.where("part is not null")
-    picked = learn.select("row").orderBy(F.xxhash64("row"), "row").limit(SAMPLE)
-    sample = learn.select("row", "ids").join(F.broadcast(picked), "row").mapInArrow(_sampled, "row long, x array<double>").orderBy("row").collect()
     codes = v.other + 1
-    centres = kinds(np.array([r.x for r in sample])) if sample else np.zeros((1, KNOWN_BY))
+    centres = kinds(cuts.table(learn.select("ids").mapInArrow(_known, "x binary"), "lm-known", "zstd"))
+    cuts.drop("lm-known")
     by_kind = np.zeros((-(-codes // CODES) * CODES, len(centres)))
     for block, x in gathered(learn.select("ids").mapInArrow(_kind_counts(centres, codes), TALLY), "i4").items():
         by_kind[block * CODES : (block + 1) * CODES] = x.reshape(CODES, -1)

@@ -96,6 +96,22 @@ def test_probabilities_add_up_to_one_and_make_the_scores(spark, monkeypatch):
     assert math.exp(-m.share[v.other]) == pytest.approx(others.agg(F.sum(F.col("c") + 1)).first()[0] + 1)
 
 
+def test_kinds_are_found_on_all_documents(spark, monkeypatch):
+    """Each centre is the mean of all documents that are nearest to it, also of those beyond the first thousands."""
+    rng = np.random.default_rng(8)
+    words = [np.arange(k * 20 + 1, k * 20 + 21) for k in range(8)]
+    ids = [[*(int(x) for x in rng.choice(words[k % 8], 12)), lm.END] for k in range(6000)]
+    rows = spark.createDataFrame([(k, k, False, k % lm.ROUNDS, x, []) for k, x in enumerate(ids)], lm.CODED)
+    monkeypatch.setattr(lm, "STILL", 0.0, raising=False)
+    seen, known = [], lm._kind_counts
+    monkeypatch.setattr(lm, "_kind_counts", lambda centres, codes: seen.append(centres) or known(centres, codes))
+    lm.train(Cuts(spark).table(rows, "coded"), Cuts(spark), lm.Vocabulary(pa.array([f"w{k}" for k in range(300)]), np.full(301, 9), (0, 0)))
+    x = lm._vectors(pa.array(ids, pa.list_(pa.int32())))
+    near = ((x[:, None] - seen[0][None]) ** 2).sum(2).argmin(1)
+    means = np.stack([x[near == k].mean(0) for k in np.unique(near)])
+    assert len(means) == len(seen[0]) > 4 and np.abs(means - seen[0]).max() < 1e-4
+
+
 def test_words_that_repeat_after_one_another_are_likelier(spark):
     rows = [(k, " ".join(["one two three four five six seven eight"] * 6), "", "", "") for k in range(60)]
     got = lm.scores(spark.createDataFrame(rows, SCHEMA), F.lit(True), F.lit(False), Cuts(spark)).first()
