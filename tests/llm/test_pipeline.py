@@ -99,3 +99,10 @@ def test_toxicity_of_empty_tables_and_clashing_columns(spark, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     assert toxicity.keep_clean(spark, d.limit(0), str(tmp_path)).count() == 0
     assert toxicity.keep_clean(spark, d.withColumn("text", F.lit("x")), str(tmp_path)).columns == d.columns
+
+
+def test_buckets_that_the_least_member_settles_or_that_repeat_others_are_not_gone_through_again(spark):
+    buckets = {1: "1a 2b", 2: "1a 2b 3b", 3: "1a 4c 5d", 4: "2b 4c 5d", 5: "1a 4c 5d 6d", 6: "4c 5c 6d"}
+    rows = [(at, int(x[0]), len(own.split()), int(own[0]), x[1]) for at, own in buckets.items() for x in own.split()]
+    got = lines.unsettled(spark.createDataFrame(rows, "at long, id long, n long, lo long, label string")).collect()
+    assert sorted((r["at"], r.id, r.label) for r in got) == [(3, 4, "c"), (3, 5, "d"), (5, 4, "c"), (5, 5, "d"), (5, 6, "d"), (6, 5, "c"), (6, 6, "d")]
