@@ -80,3 +80,34 @@ def test_ranks_are_unique_and_scores_share(spark):
     df = spark.createDataFrame([("a", 2.0), ("b", 1.0), ("c", 2.0), ("d", 5.0)], "id string, v double")
     assert values(m.ranked(df, "v", "k"), "k") == {"d": 1, "a": 2, "c": 3, "b": 4}
     assert values(m.bridge_score(df, "v"), "bridge_score") == pytest.approx({"b": 0, "a": 100 / 3, "c": 100 / 3, "d": 100})
+
+
+def rounds(nodes, pairs):
+    """PageRank round by round, and how many rounds it takes."""
+    out = {i: [b for a, b in pairs if a == i] for i in nodes}
+    rank, k, moved = dict.fromkeys(nodes, 1 / len(nodes)), 0, 1.0
+    while moved >= m.TOLERANCE and k < m.MOST_ROUNDS:
+        new = dict.fromkeys(nodes, (0.15 + 0.85 * sum(rank[i] for i in nodes if not out[i])) / len(nodes))
+        for i in nodes:
+            for b in out[i]:
+                new[b] += 0.85 * rank[i] / len(out[i])
+        rank, k, moved = new, k + 1, sum(abs(new[i] - rank[i]) for i in nodes)
+    return rank, k
+
+
+@pytest.mark.parametrize(
+    "pairs,tables",
+    [
+        ([(f"p{i}", f"t{i * j % 7}") for i in range(40) for j in (1, 2)] + [("t0", "u"), ("t1", "u"), ("p3", "u")], 14),
+        ([(f"c{i}", f"c{i + 1}") for i in range(20)], None),
+        ([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("s", "s"), ("s", "a")], None),
+    ],
+)
+def test_pagerank_of_short_paths_needs_no_rounds(spark, monkeypatch, pairs, tables):
+    n, e = graph(spark, pairs)
+    written, real = [], m.Cuts.table
+    monkeypatch.setattr(m.Cuts, "table", lambda self, *a: written.append(1) or real(self, *a))
+    got = values(m.pagerank(n, e), "pagerank")
+    want, k = rounds(sorted(got), pairs)
+    assert got == pytest.approx(want, rel=1e-12, abs=1e-15)
+    assert k > 20 and (tables is None or len(written) <= tables)
