@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotwork.durable import Cuts, cut
+from knotwork.durable import Cuts, cut, empty
 
 #: Rows (source, node) of searches that are held at once, on all executors together.
 PAIRS = 1 << 31
@@ -116,7 +116,9 @@ def betweenness(nodes: DataFrame, edges: DataFrame, chunks: int | None = None, b
     A pair that a node parts passes through it whatever the path, which is counted from the sizes of the parts. The rest is sought block by
     block: from every member of a block, weighted by what hangs at it, shortest paths grow level by level as rows (source, node, paths);
     then what each node passes on is added up from the farthest level back. Blocks of two nodes, such as leaves and bridges, need no search.
-    The work is the sum of members times edges over blocks. Sources are dealt to chunks so that a chunk holds at most the budget of rows.
+    Members of a block that have the same neighbours in it are searched as one, from which and to which there are as many paths as they are.
+    The work is the sum of such classes times edges among them over blocks. Sources are dealt to chunks so that a chunk holds at most the
+    budget of rows.
     """
     given = given or found(nodes, edges)
     total = nodes.count()
@@ -124,14 +126,21 @@ def betweenness(nodes: DataFrame, edges: DataFrame, chunks: int | None = None, b
     crossing = given.members.groupBy("v").agg((F.max(F.col("part") + F.col("weight")) - 1).alias("others"), F.sum(F.col("part").cast("double") * F.col("part")).alias("within")).select("v", (F.col("others").cast("double") * F.col("others") - F.col("within")).alias("dep"))
     parts = [crossing]
     size = given.members.groupBy("block").agg(F.count("*").alias("n")).where("n > 2")
-    rows = size.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
-    if rows:
+    if not empty(size):
         outer = Cuts(nodes.sparkSession)
         member = outer.table(given.members.join(size, "block", "left_semi").select("block", "v", "weight"), "member")
-        step = outer.table(given.edges.join(member.select("block", F.col("v").alias("b"), F.col("weight").alias("wb")), ["block", "b"]), "step")
-        chunks = chunks or max(1, -(-rows // budget))
-        for k in range(chunks):
-            parts.append(cut(_searched(member, step, chunks, k)))
+        of, alike = _alike(member, given.edges, outer)
+        end = alike.select("block", F.col("c").alias("b"), F.col("weight").alias("wb"), F.col("n").alias("nb"))
+        # The edges of one of a class are those of all.
+        near = given.edges.join(alike.select("block", F.col("c").alias("a")), ["block", "a"], "left_semi").join(of.select("block", F.col("v").alias("b"), "c"), ["block", "b"])
+        step = outer.table(near.select("block", "a", F.col("c").alias("b")).distinct().join(end, ["block", "b"]), "step")
+        # A row is held in its level and again on the way back.
+        rows = alike.groupBy("block").agg(F.count("*").cast("double").alias("n")).agg(2 * F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+        chunks = chunks or max(1, -int(-rows // budget))
+        # Two of a class are two steps apart, by way of each neighbour alike.
+        own = alike.where("n > 1").join(step.select("block", F.col("a").alias("c"), F.col("b").alias("to")), ["block", "c"]).select("block", F.col("to").alias("c"), (F.col("among") / F.col("degree")).alias("dep"))
+        dep = reduce(DataFrame.unionByName, [own, *(cut(_searched(alike.withColumnRenamed("c", "v"), step, chunks, k)) for k in range(chunks))])
+        parts.append(of.join(dep.groupBy("block", "c").agg(F.sum("dep").alias("dep")), ["block", "c"]).select("v", "dep"))
     if pairs <= 0:
         return nodes.select("id", F.lit(0.0).alias("betweenness"))
     sums = reduce(DataFrame.unionByName, parts).groupBy(F.col("v").alias("id")).agg(F.sum("dep").alias("dep"))
@@ -139,14 +148,30 @@ def betweenness(nodes: DataFrame, edges: DataFrame, chunks: int | None = None, b
     return nodes.select("id").join(sums, "id", "left").select("id", (F.coalesce("dep", F.lit(0.0)) / pairs).alias("betweenness"))
 
 
+def _alike(member: DataFrame, edges: DataFrame, cuts: Cuts) -> tuple[DataFrame, DataFrame]:
+    """(block, v, c) with the class of every member, named after its least, and (block, c, n, weight, degree, among) of the classes.
+
+    n counts members, weight sums up theirs, among sums up the products of weights of any two, degree counts the neighbours of each. Sets of
+    neighbours are told apart by their number and 128 bits of hashes.
+    """
+    kind = ["block", "degree", "x", "y"]
+    bits = lambda k: F.bit_xor(F.xxhash64(F.lit(k), "b"))
+    sets = edges.join(member.select("block").distinct(), "block", "left_semi").groupBy("block", F.col("a").alias("v")).agg(F.count("*").alias("degree"), bits("x").alias("x"), bits("y").alias("y"))
+    sets = cuts.table(sets.join(member, ["block", "v"]), "sets")
+    weight = F.col("weight").cast("double")
+    alike = cuts.table(sets.groupBy(*kind).agg(F.min("v").alias("c"), F.count("*").alias("n"), F.sum("weight").alias("weight"), (F.sum(weight) * F.sum(weight) - F.sum(weight * weight)).alias("among")), "alike")
+    return cuts.table(sets.join(alike.select(*kind, "c"), kind).select("block", "v", "c"), "of"), alike.select("block", "c", "n", "weight", "degree", "among")
+
+
 def _searched(member: DataFrame, step: DataFrame, chunks: int, k: int) -> DataFrame:
-    """(v, dep) of the sources of a chunk."""
+    """(block, c, dep) of the sources of a chunk; dep is what each of a class passes on, summed over the weight of sources."""
     cuts = Cuts(member.sparkSession)
     starts = member.where(F.pmod(F.xxhash64("block", "v"), F.lit(chunks)) == k)
-    first, size = cuts.counted(starts.select("block", F.col("v").alias("s"), F.col("weight").alias("ws"), "v", F.col("weight").alias("wv"), F.lit(1.0).alias("paths")), "level0")
+    # A path begins at one of the source's class.
+    first, size = cuts.counted(starts.select("block", F.col("v").alias("s"), F.col("weight").alias("ws"), "v", F.col("weight").alias("wv"), F.lit(1).cast("long").alias("nv"), F.lit(1.0).alias("paths")), "level0")
     key, levels = ["block", "s", "v"], [first]
     while size:
-        on = levels[-1].join(step.withColumnRenamed("a", "v"), ["block", "v"]).groupBy("block", "s", "ws", F.col("b").alias("v"), F.col("wb").alias("wv")).agg(F.sum("paths").alias("paths"))
+        on = levels[-1].join(step.withColumnRenamed("a", "v"), ["block", "v"]).groupBy("block", "s", "ws", F.col("b").alias("v"), F.col("wb").alias("wv"), F.col("nb").alias("nv")).agg(F.sum(F.col("paths") * F.col("nv")).alias("paths"))
         # A node next to a level is in it, in the one before it, or new.
         old = reduce(DataFrame.unionByName, [x.select(*key) for x in levels[-2:]])
         level, size = cuts.counted(on.join(old, key, "left_anti"), f"level{len(levels)}")
@@ -155,9 +180,9 @@ def _searched(member: DataFrame, step: DataFrame, chunks: int, k: int) -> DataFr
     for d in range(len(levels) - 2, 0, -1):
         own = levels[d].withColumn("dep", F.lit(0.0)) if passed is None else levels[d].join(passed, key, "left").withColumn("dep", F.coalesce("dep", F.lit(0.0)))
         own = cuts.table(own, f"own{d}")
-        through.append(own.select("v", (F.col("dep") * F.col("ws")).alias("dep")))
-        back = own.select("block", "s", F.col("v").alias("a"), ((F.col("wv") + F.col("dep")) / F.col("paths")).alias("x")).join(step, ["block", "a"]).select("block", "s", F.col("b").alias("v"), "x")
+        through.append(own.select("block", F.col("v").alias("c"), (F.col("dep") * F.col("ws")).alias("dep")))
+        back = own.select("block", "s", F.col("v").alias("a"), ((F.col("wv") + F.col("nv") * F.col("dep")) / F.col("paths")).alias("x")).join(step, ["block", "a"]).select("block", "s", F.col("b").alias("v"), "x")
         passed = back.join(levels[d - 1].select(*key, "paths"), key).groupBy(*key).agg(F.sum(F.col("x") * F.col("paths")).alias("dep"))
     if not through:
-        return member.select("v", F.lit(0.0).alias("dep")).limit(0)
-    return reduce(DataFrame.unionByName, through).groupBy("v").agg(F.sum("dep").alias("dep"))
+        return member.select("block", F.col("v").alias("c"), F.lit(0.0).alias("dep")).limit(0)
+    return reduce(DataFrame.unionByName, through).groupBy("block", "c").agg(F.sum("dep").alias("dep"))

@@ -92,3 +92,15 @@ def test_budget_deals_sources_to_chunks(spark, monkeypatch):
     monkeypatch.setattr(B, "_searched", lambda *a: seen.append(a[2:]) or real(*a))
     got = {r.id: r.betweenness for r in B.betweenness(n, e, budget=40).collect()}
     assert len(seen) > 1 and got == pytest.approx(plain(nodes, pairs))
+
+
+def test_nodes_with_the_same_neighbours_are_searched_as_one(spark, monkeypatch):
+    pairs = [(f"p{k}{i}", f"t{t}") for k, ts in enumerate(((0, 1, 2), (2, 3), (3, 4, 5, 0))) for i in range(9) for t in ts]
+    pairs += [("p00", "leaf"), ("p00", "more"), ("p11", "less"), ("p20", "p21"), ("u0", "v0"), ("u0", "v1"), ("u1", "v0"), ("u1", "v1")]
+    nodes = sorted({x for p in pairs for x in p})
+    n, e = spark.createDataFrame([(x,) for x in nodes], "id string"), spark.createDataFrame(pairs, "source string, target string")
+    seen, real = [], B._searched
+    monkeypatch.setattr(B, "_searched", lambda member, *a: seen.append(member.count()) or real(member, *a))
+    got = {r.id: r.betweenness for r in B.betweenness(n, e).collect()}
+    assert got == pytest.approx(plain(nodes, pairs))
+    assert sum(seen) <= 14 and len(nodes) == 40
