@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from knotwork.durable import cut
 from knotwork.operators import graph as g
 
 LINKS = "select distinct 'page:' || page_id as source, 'path:' || h as target from (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as h from pages)"
@@ -39,6 +40,15 @@ def shared(edges: DataFrame) -> DataFrame:
     return a.join(b, "path").where("source < target").groupBy("source", "target").agg(F.count("*").alias("n")).where("n >= 2").drop("n")
 
 
+def alike(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, page) with the class of every page, named after its least, and (id, n) of the classes: pages of one class link to the same paths. Sets of paths are told apart by their number and 128 bits of hashes."""
+    bits = lambda k: F.bit_xor(F.xxhash64(F.lit(k), "target")).alias(k)
+    kind = ["links", "x", "y"]
+    sets = cut(edges.groupBy(F.col("source").alias("page")).agg(F.count("*").alias("links"), bits("x"), bits("y")))
+    classes = cut(sets.groupBy(*kind).agg(F.min("page").alias("id"), F.count("*").alias("n")))
+    return sets.join(classes.select(*kind, "id"), kind).select("id", "page"), classes.select("id", "n", "links")
+
+
 def href_extract(spark: SparkSession, d: str) -> DataFrame:
     return links(spark, d)
 
@@ -53,8 +63,14 @@ def component_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clustering(spark: SparkSession, d: str) -> DataFrame:
-    e = shared(links(spark, d))
-    return g.clustering(ends(e), e).select("id", F.round("clustering", 9).alias("clustering"))
+    """Of pages that share two paths or more with another. Pages with the same links are alike to all others, so pairs are sought among classes of them."""
+    e = cut(links(spark, d))
+    of, classes = alike(e)
+    classes = cut(classes)
+    among = classes.where("n > 1 and links >= 2").select(F.col("id").alias("source"), F.col("id").alias("target"))
+    pairs = cut(shared(e.join(classes.select(F.col("id").alias("source")), "source", "left_semi")).unionByName(among))
+    linked = classes.join(ends(pairs), "id", "left_semi").select("id", "n")
+    return of.join(g.clustering_of_classes(linked, pairs), "id").select(F.col("page").alias("id"), F.round("clustering", 9).alias("clustering"))
 
 
 def blast_radius(spark: SparkSession, d: str) -> DataFrame:
