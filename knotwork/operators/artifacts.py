@@ -91,14 +91,15 @@ class Emit:
         self.edge(df, ident, prod, "in_product", order)
 
 
-def read(files: DataFrame, ext: str, fields: str, code: str, column: str = "doc_code") -> DataFrame:
-    """Rows of the files with the extension: path, origin, the fields, and the code given or else the file's name in capitals."""
+def read(files: DataFrame, cuts: Cuts, ext: str, fields: str, code: str, column: str = "doc_code", **more: Column) -> DataFrame:
+    """Rows of the files with the extension: path, origin, the fields, the code given or else the file's name in capitals, and more columns. They are written once, so that a pass, which reads them many times, parses a file once."""
     rows = files.where((F.col("ext") == ext) & F.try_parse_json("content").isNotNull()).select("path", "origin", F.from_json("content", fields).alias("d"))
-    return rows.select("path", "origin", F.lit(0).alias("at"), "d.*").withColumn(column, either(code, F.upper(T.basename(F.col("path"), ext))))
+    rows = rows.select("path", "origin", F.lit(0).alias("at"), "d.*").withColumn(column, either(code, F.upper(T.basename(F.col("path"), ext))))
+    return cuts.table(rows.withColumns(more), f"read{ext}")
 
 
-def business_objects(e: Emit, files: DataFrame) -> DataFrame:
-    b = read(files, ".bo", BUSINESS_OBJECT, "objectCode")
+def business_objects(e: Emit, files: DataFrame, cuts: Cuts) -> DataFrame:
+    b = read(files, cuts, ".bo", BUSINESS_OBJECT, "objectCode")
     ident = named("bo", "doc_code")
     e.node(b, ident, "businessObject", BO, label=either("name", "doc_code"), code=F.col("doc_code"), summary=T.collapsed(F.col("description")), family=F.col("family"), product=F.col("product"), objectSource=F.col("objectSource"), restResourcePath=F.col("restResourcePath"), seeded=F.coalesce("seededFlag", F.lit(False)), origin=F.col("origin"))
     e.taxonomy(b, ident, BO)
@@ -116,8 +117,8 @@ def business_objects(e: Emit, files: DataFrame) -> DataFrame:
     return b.select(F.col("doc_code").alias("code"), "objectSource")
 
 
-def deeplinks(e: Emit, files: DataFrame) -> DataFrame:
-    d = read(files, ".dl", DEEPLINK, "deepLinkCode")
+def deeplinks(e: Emit, files: DataFrame, cuts: Cuts) -> DataFrame:
+    d = read(files, cuts, ".dl", DEEPLINK, "deepLinkCode")
     ident = named("dl", "doc_code")
     e.node(d, ident, "deeplink", DL, label=either("name", "doc_code"), code=F.col("doc_code"), summary=T.collapsed(F.col("description")), family=F.col("family"), product=F.col("product"), destinationUrl=F.col("destinationUrl"), usageType=F.col("usageType"), origin=F.col("origin"))
     e.taxonomy(d, ident, DL)
@@ -125,9 +126,9 @@ def deeplinks(e: Emit, files: DataFrame) -> DataFrame:
     return d.select(F.col("doc_code").alias("code"))
 
 
-def tools(e: Emit, files: DataFrame, links: DataFrame, objects: DataFrame) -> DataFrame:
+def tools(e: Emit, files: DataFrame, cuts: Cuts, links: DataFrame, objects: DataFrame) -> DataFrame:
     """What backs a tool is a deeplink, else a business object, else a deeplink that no file defines."""
-    t = read(files, ".tool", TOOL, "toolCode").withColumn("spec", C.specification(F.to_json(F.struct("specification"))))
+    t = read(files, cuts, ".tool", TOOL, "toolCode").withColumn("spec", C.specification(F.to_json(F.struct("specification"))))
     ident = named("tool", "doc_code")
     e.node(t, ident, "tool", TL, label=either("name", "doc_code"), code=F.col("doc_code"), toolType=F.col("type"), subType=either("subType"), namespace=F.col("namespace"), status=F.col("status"), summary=T.collapsed(F.col("description")), family=F.col("family"), product=F.col("product"), origin=F.col("origin"))
     e.taxonomy(t, ident, TL)
@@ -165,9 +166,7 @@ def flag(e: Emit, df: DataFrame, node: Column, kind: str, detail: Column, order:
 
 
 def workflows(e: Emit, files: DataFrame, cuts: Cuts) -> tuple[DataFrame, DataFrame]:
-    w = read(files, ".wf", WORKFLOW, "workflowCode", "wf")
-    spec = F.from_json("specification", WORKFLOW_SPEC)
-    w = w.withColumn("s", spec).withColumn("listed", F.from_json("s.dataPipeline", PIPELINE)["pipelineNodes"])
+    w = read(files, cuts, ".wf", WORKFLOW, "workflowCode", "wf", s=F.from_json("specification", WORKFLOW_SPEC), specification=F.lit(None).cast("string")).withColumn("listed", F.from_json("s.dataPipeline", PIPELINE)["pipelineNodes"])
     ident = named("wf", "wf")
     codes = F.transform("listed", lambda n: F.coalesce(F.nullif(n["code"], F.lit("")), n["id"]))
     e.node(w, ident, "workflow", NAMES, label=either("name", "workflowCode"), code=F.col("workflowCode"))
@@ -268,8 +267,8 @@ def unreachable(n: DataFrame) -> DataFrame:
     return n.where("at > 0 and coalesce(type, '') <> 'START'").join(entered, ["path", "prefix", "id"], "left_anti").select("nid").distinct()
 
 
-def agents(e: Emit, files: DataFrame) -> None:
-    a = read(files, ".agent", AGENT, "agentCode")
+def agents(e: Emit, files: DataFrame, cuts: Cuts) -> None:
+    a = read(files, cuts, ".agent", AGENT, "agentCode")
     ident = named("agent", "doc_code")
     e.node(
         a, ident, "agent", AG, label=either("name", "doc_code"), code=F.col("doc_code"), summary=T.collapsed(F.col("description")), family=F.col("family"), product=F.col("product"), status=F.col("status"), agentKind=F.col("type"),
@@ -286,9 +285,9 @@ def agents(e: Emit, files: DataFrame) -> None:
     e.edge(p, ident, named("topic", "topicCode"), "uses_topic", AG + 1)
 
 
-def apps(e: Emit, files: DataFrame, known: DataFrame) -> None:
+def apps(e: Emit, files: DataFrame, cuts: Cuts, known: DataFrame) -> None:
     """known: (code, family, product) of the workflows that files define; an app takes family and product from those that it shows."""
-    a = read(files, ".app", APP, "code", "app").withColumn("m", F.from_json("specification", APP_SPEC)["applicationMetadata"])
+    a = read(files, cuts, ".app", APP, "code", "app", m=F.from_json("specification", APP_SPEC)["applicationMetadata"], specification=F.lit(None).cast("string"))
     ident = named("app", "app")
     e.node(a, ident, "app", NAMES, label=either("name", "code"), code=F.col("code"))
     e.node(
@@ -336,10 +335,10 @@ def apps(e: Emit, files: DataFrame, known: DataFrame) -> None:
 def extract(spark: SparkSession, files: DataFrame, cuts: Cuts | None = None) -> Emit:
     """All passes over (path, origin, name, ext, content)."""
     cuts, e = cuts or Cuts(spark), Emit()
-    objects = business_objects(e, files)
-    links = deeplinks(e, files)
-    e.declared = tools(e, files, links, objects)
+    objects = business_objects(e, files, cuts)
+    links = deeplinks(e, files, cuts)
+    e.declared = tools(e, files, cuts, links, objects)
     known, _ = workflows(e, files, cuts)
-    agents(e, files)
-    apps(e, files, known)
+    agents(e, files, cuts)
+    apps(e, files, cuts, known)
     return e

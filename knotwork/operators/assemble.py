@@ -23,15 +23,15 @@ def upsert(candidates: DataFrame, columns: Iterable[str] | None = None) -> DataF
     """One row for each id of candidates (id, seq, stub, columns ...): per column the value with the least seq that says anything.
 
     A stub stands for what is mentioned and not defined. It gives values only where it came before the first definition, and the row is a
-    stub only if no definition came at all. Null ids are left out. Where an id's first definition stands is one number that is merged before
-    its shuffle and joined back, so that no task holds the rows of an id.
+    stub only if no definition came at all. Null ids are left out. The first values of stubs and of definitions are found apart, in one
+    pass that merges before its shuffle, so candidates are made once and no task holds the rows of an id.
     """
     columns = [c for c in candidates.columns if c not in ("id", "seq", "stub")] if columns is None else list(columns)
-    rows = candidates.where("id is not null")
-    real = rows.where(~F.col("stub")).groupBy("id").agg(F.min("seq").alias("_real"))
-    rows = rows.join(real, "id", "left").where(~F.col("stub") | F.col("_real").isNull() | (F.col("seq") < F.col("_real")))
-    first = [F.min_by(F.col(f"`{c}`"), F.when(said(c), F.col("seq"))).alias(c) for c in columns]
-    return rows.groupBy("id").agg(F.min("seq").alias("seq"), F.every("stub").alias("stub"), *first)
+    first = lambda c, kind: F.min(F.when(kind & said(c), F.struct("seq", F.col(f"`{c}`").alias("v"))))
+    of = [x for k, c in enumerate(columns) for x in (first(c, ~F.col("stub")).alias(f"_r{k}"), first(c, F.col("stub")).alias(f"_s{k}"))]
+    by = candidates.where("id is not null").groupBy("id").agg(F.min("seq").alias("seq"), F.min(F.when(~F.col("stub"), F.col("seq"))).alias("_real"), *of)
+    value = lambda k: F.when(F.col("_real").isNull() | (F.col(f"_s{k}.seq") < F.col("_real")), F.col(f"_s{k}.v")).otherwise(F.col(f"_r{k}.v"))
+    return by.select("id", "seq", F.col("_real").isNull().alias("stub"), *(value(k).alias(c) for k, c in enumerate(columns)))
 
 
 def upsert_edges(candidates: DataFrame, key: tuple[str, ...] = ("source", "target", "relation", "context")) -> DataFrame:

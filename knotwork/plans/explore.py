@@ -443,20 +443,27 @@ def _artifacts(spark: SparkSession, d: str) -> DataFrame:
     return files.shaped(every)
 
 
-def _extracted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    cuts = Cuts(spark)
+#: The columns of nodes that layers, and which edges are kept, are told by.
+TOLD_BY = ("type", "label", "agentKind", "source_file", "source_location")
+
+
+def _extracted(spark: SparkSession, d: str, cuts: Cuts) -> tuple[DataFrame, DataFrame]:
+    """Nodes, with the columns TOLD_BY, and edges of artifacts made of the tables."""
     n, e = artifacts.extract(spark, cuts.table(_artifacts(spark, d), "files"), cuts).graph()
-    n, e = cuts.table(assemble.upsert(n), "nodes"), cuts.table(assemble.upsert_edges(e), "edges")
-    return assemble.finalise(n, e)
+    cuts.drop("files")
+    return assemble.upsert(n, TOLD_BY), assemble.upsert_edges(e)
 
 
 def artifact_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes that artifacts made of the tables give, by type, layer and whether files define them."""
-    return _extracted(spark, d)[0].groupBy("type", "layer", "stub").agg(F.count("*").alias("n"))
+    """Nodes that artifacts made of the tables give, by type, layer and whether files define them. Nothing is written between, so of the edges only those are made that tell a layer."""
+    return assemble.finalise(*_extracted(spark, d, Cuts(spark)))[0].groupBy("type", "layer", "stub").agg(F.count("*").alias("n"))
 
 
 def artifact_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _extracted(spark, d)[1].groupBy("relation").agg(F.count("*").alias("n"))
+    """Edges among them by relation; nodes are written, as both ends are looked up in them."""
+    cuts = Cuts(spark)
+    n, e = _extracted(spark, d, cuts)
+    return assemble.finalise(cuts.table(n, "nodes"), e)[1].groupBy("relation").agg(F.count("*").alias("n"))
 
 
 _L = f"with recursive e as ({links.LINKS}), {links._UND}"

@@ -28,3 +28,9 @@ def test_as_read_one_by_one(spark):
     plan = assemble.upsert(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
     assert assemble.upsert(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_candidates_are_made_once(spark):
+    rows = [("a", (1, 0), False, "x", 1), ("a", (0, 0), True, None, 2), ("b", (0, 1), True, "y", None)]
+    plan = assemble.upsert(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
