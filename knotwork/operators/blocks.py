@@ -103,7 +103,7 @@ def articulation_points(nodes: DataFrame, edges: DataFrame, given: Blocks | None
 
 
 def work(given: Blocks) -> DataFrame:
-    """One row: nodes and edges of the graph, blocks, those that are searched, and the steps that searching takes by blocks and would take without them (sources times edges)."""
+    """One row: nodes and edges of the graph, blocks, those that are searched, and the steps that searching takes by blocks and would take without them (sources times edges), members with the same neighbours counted one by one."""
     size = given.members.groupBy("block").agg(F.count("*").alias("n")).join(given.edges.groupBy("block").agg(F.count("*").alias("m")), "block")
     per = size.agg(F.count("*").alias("blocks"), F.count_if(F.col("n") > 2).alias("searched"), F.sum(F.when(F.col("n") > 2, F.col("n") * F.col("m")).otherwise(0)).alias("steps"), (F.sum("m") / 2).cast("long").alias("edges"))
     nodes = given.members.select(F.count_distinct("v").alias("nodes"))
